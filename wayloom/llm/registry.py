@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact
+from . import exact, pack
 
 
 def queries() -> dict[str, Callable]:
-    return {"op5_exact_dedup": exact.op5_exact_dedup}
+    return {
+        "op5_exact_dedup": exact.op5_exact_dedup,
+        "op6_mixture_packing": pack.op6_mixture_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
