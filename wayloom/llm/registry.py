@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact, pack
+from . import exact, knn, langid, pack
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
+        "op9_quality_knn": knn.op9_quality,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
