@@ -28,10 +28,10 @@ def table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wayloom/{uuid.uuid4().hex}/{label}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives executors."""
     path = table_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact, knn, langid, pack
+from . import chat, exact, knn, langid, pack
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
+        "op8_reply_trees": chat.op8_reply_trees,
         "op9_quality_knn": knn.op9_quality,
         "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.OP5_SQL}
+    return {"op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL}
