@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, pack
+from . import chat, exact, knn, langid, media, pack
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
+        "op7_media_sniffing": media.op7_media_sniffing,
         "op8_reply_trees": chat.op8_reply_trees,
         "op9_quality_knn": knn.op9_quality,
         "op10_language_id": langid.op10_language_id,
