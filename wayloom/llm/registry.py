@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, media, pack
+from . import chat, exact, knn, langid, media, pack, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_warc_segments": warc.op2_warc,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
         "op7_media_sniffing": media.op7_media_sniffing,
