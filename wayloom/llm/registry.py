@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, media, pack, warc
+from . import chat, exact, knn, langid, media, ngram_join, pack, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
         "op2_warc_segments": warc.op2_warc,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL}
+    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL}
