@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, media, ngram_join, pack, warc
+from . import chat, exact, knn, langid, media, mixing, ngram_join, pack, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
         "op2_warc_segments": warc.op2_warc,
+        "op3_mix_to_targets": mixing.op3_mix_to_targets,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
         "op7_media_sniffing": media.op7_media_sniffing,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL}
+    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op3_mix_to_targets": mixing.mix_sql(), "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL}
