@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, media, mixing, ngram_join, pack, warc
+from . import chat, exact, knn, langid, media, mixing, ngram_join, pack, passages, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
         "op2_warc_segments": warc.op2_warc,
         "op3_mix_to_targets": mixing.op3_mix_to_targets,
+        "op4_repeated_passages": passages.op4_repeated_passages,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_mixture_packing": pack.op6_mixture_packing,
         "op7_media_sniffing": media.op7_media_sniffing,
