@@ -3,7 +3,8 @@
 The product's entries are overlap counts. Columns are dealt out in blocks (the shuffle partitions of the n-gram), each
 block adds its share of every pair's overlap, and pairs are discarded by bounds that follow from the set
 sizes: sizes must be within the threshold of each other; of each row only the prefix that a link needs to
-share is multiplied at first; a pair goes on only if its prefix overlap plus all that the rest of the smaller
+share is multiplied at first; a row that shares fewer of its prefix columns with any other than a link needs at
+least, n t (1 - t) / (1 + t) for the threshold t, is dropped; a pair goes on only if its prefix overlap plus all that the rest of the smaller
 set could add reaches the overlap that a link needs; the survivors' remaining product is the exact count.
 
 Rows with equal sets are one row of the matrix. n-grams are ordered from rare to frequent (``shingles``), so passages
@@ -25,6 +26,13 @@ from .common import connected_components, restrict, stored
 from .shingles import frequency_classes, incidence, whole_sets
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries of columns that two rows share at least, with the first row of each."""
+    column = Window.partitionBy("gram")
+    lists = entries.withColumn("lead", F.min(F.struct("id", "n")).over(column)).withColumn("last", F.max("id").over(column))
+    return lists.where(F.col("lead.id") < F.col("last")).select("gram", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
+
+
 def _fits(percent: int, n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -53,10 +61,11 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     copies = stored(members.where("rep is not null and id <> rep").select("id").distinct(), "copies")
     entries = restrict(rows.where("n > 0 and id is not null").select("id", "n", "grams"), copies, "id", "left_anti")
     entries = entries.select("id", "n", F.explode("grams").alias("gram"))
-    column = Window.partitionBy("gram")
-    lists = entries.withColumn("lead", F.min(F.struct("id", "n")).over(column)).withColumn("last", F.max("id").over(column))
-    lists = lists.where(F.col("lead.id") < F.col("last")).select("gram", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
-    lists = stored(lists, "columns")
+    lists = stored(_shared(entries), "columns")
+    for _ in range(2):  # rows that share too few columns for any link go, and with them columns that only they shared
+        counts = lists.groupBy("id", "n").agg(F.count("*").alias("c"))
+        enough = stored(counts.where(F.col("c") * (100 * (100 + percent)) > F.col("n") * (percent * (100 - percent))).select("id").distinct(), "enough")
+        lists = stored(_shared(restrict(lists.select("id", "n", "gram"), enough, "id")), "columns")
 
     in_lists = stored(lists.select("id").distinct(), "rows")
     texts = restrict(docs.withColumn("__id", F.col(id_col).cast("long")), in_lists.withColumnRenamed("id", "__id"), "__id")
