@@ -3,9 +3,10 @@
 The product's entries are overlap counts. Columns are dealt out in blocks (the shuffle partitions of the n-gram), each
 block adds its share of every pair's overlap, and pairs are discarded by bounds that follow from the set
 sizes: sizes must be within the threshold of each other; of each row only the prefix that a link needs to
-share is multiplied at first; a row that shares fewer of its prefix columns with any other than a link needs at
-least, n t (1 - t) / (1 + t) for the threshold t, is dropped; a pair goes on only if its prefix overlap plus all that the rest of the smaller
-set could add reaches the overlap that a link needs; the survivors' remaining product is the exact count.
+share is multiplied at first. A link needs an overlap of t n at least for both sizes n, so two prefixes of n - t n + e(n)
+columns share e of the smaller size at least (the columns of the set whose prefix ends first are all within
+the other's prefix, or among its own last t n - e): pairs whose prefixes overlap less are discarded, and so
+are rows that share fewer columns with all others together. The survivors' whole product is the exact count.
 
 Rows with equal sets are one row of the matrix. n-grams are ordered from rare to frequent (``shingles``), so passages
 that many documents share stay out of the prefixes of documents that have anything else. Columns that remain
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import connected_components, restrict, stored
-from .shingles import frequency_classes, incidence, whole_sets
+from .shingles import EXTRA, frequency_classes, incidence, whole_sets
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -33,6 +34,11 @@ def _shared(entries: DataFrame) -> DataFrame:
     return lists.where(F.col("lead.id") < F.col("last")).select("gram", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
 
 
+def shared_least(n: Column) -> Column:
+    """Prefix columns that a link of two sets shares at least, ``n`` being the smaller size."""
+    return 1 + F.floor(n / EXTRA)
+
+
 def _fits(percent: int, n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -56,15 +62,16 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     key = ["n", "a", "b"]
     groups = rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     many = stored(groups.where("copies > 1").drop("copies"), "equal")
-    members = rows.select("id", *key).join(many, key, "left").select("id", "n", F.coalesce("rep", F.when(F.col("n") > 0, F.col("id"))).alias("rep"))
+    members = rows.select("id", *key).join(many, key, "left").select("id", *key, F.coalesce("rep", F.when(F.col("n") > 0, F.col("id"))).alias("rep"))
     members = stored(members, "members")
-    copies = stored(members.where("rep is not null and id <> rep").select("id").distinct(), "copies")
-    entries = restrict(rows.where("n > 0 and id is not null").select("id", "n", "grams"), copies, "id", "left_anti")
+    copies = stored(members.where("rep is not null and id <> rep").select("id", "a", "b").distinct(), "copies")
+    entries = restrict(rows.where("n > 0 and id is not null"), copies, ["id", "a", "b"], "left_anti")
     entries = entries.select("id", "n", F.explode("grams").alias("gram"))
     lists = stored(_shared(entries), "columns")
     for _ in range(2):  # rows that share too few columns for any link go, and with them columns that only they shared
         counts = lists.groupBy("id", "n").agg(F.count("*").alias("c"))
-        enough = stored(counts.where(F.col("c") * (100 * (100 + percent)) > F.col("n") * (percent * (100 - percent))).select("id").distinct(), "enough")
+        least = F.ceil(F.col("n") * percent / 100 - 1e-9)  # the smallest partner's size
+        enough = stored(counts.where(F.col("c") >= shared_least(least)).select("id").distinct(), "enough")
         lists = stored(_shared(restrict(lists.select("id", "n", "gram"), enough, "id")), "columns")
 
     in_lists = stored(lists.select("id").distinct(), "rows")
@@ -93,11 +100,9 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     pairs = left.join(right, "gram").where((F.col("cu") != F.col("cv")) & _fits(percent, F.col("nu"), F.col("nv")) & (~F.col("both") | (F.col("u") < F.col("v"))))
     overlap = pairs.select("gram", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
     counted = overlap.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
-    need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent) - 1e-9)
-    beyond = F.least(*(F.ceil(F.col(n) * percent / 100 - 1e-9) - 1 for n in ("nu", "nv")))
     tested = star.unionByName(star2)
     tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    cross = stored(counted.where(F.col("c") + beyond >= need).select("u", "v").join(tested, ["u", "v"], "left_anti"), "cross")
+    cross = stored(counted.where(F.col("c") >= shared_least(F.least("nu", "nv"))).select("u", "v").join(tested, ["u", "v"], "left_anti"), "cross")
     if not cross.isEmpty():
         links = links.unionByName(_verified(cross, sets, percent))
     return members, links

@@ -20,6 +20,8 @@ from .common import small_batches, stored
 
 BITS = 20
 BLOCKS = 64
+#: A prefix has one shingle more for each so many of the set, so that linked sets share that many more.
+EXTRA = 25
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, classes: Bro
 
 def incidence(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, classes: Broadcast) -> DataFrame:
     """(id, n, a, b, grams): set size, a 128-bit fingerprint of the set, and its prefix: so many of the first shingles
-    in the order that two sets of a Jaccard similarity of ``percent`` share one at least."""
+    in the order that two sets of a Jaccard similarity of ``percent`` share one at least, and one more for each EXTRA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +116,7 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                 for salt in (0x51ED270B9F652295, 0xA24BAED4963EE407):
                     c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(grams ^ np.uint64(salt)))])
                     sums.append(pa.array((c[bounds[1:]] - c[bounds[:-1]]).view(np.int64)))
-                p = np.where(n > 0, n + (-percent * n // 100) + 1, 0)  # n - ceil(percent n / 100) + 1
+                p = np.where(n > 0, np.minimum(n, n + (-percent * n // 100) + 1 + n // EXTRA), 0)  # n - ceil(percent n / 100) + 1 + n // EXTRA
                 ends = np.cumsum(p)
                 at = np.repeat(bounds[:-1] - (ends - p), p) + np.arange(ends[-1] if len(ends) else 0)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.first, s.rows), pa.array(n.astype(np.int64)), *sums, long_lists(grams[at], np.concatenate([[0], ends]))], ["id", "n", "a", "b", "grams"])
