@@ -29,7 +29,7 @@ VIEWS = {
     # speed rows: km/h of one kind, as whole numbers
     "speed": "(SELECT session, t, line_no, least(floor(value), 255) AS kmh FROM @ev WHERE kind = 'view')",
     # position fixes of another kind, in degrees
-    "fix": "(SELECT session, t, line_no, 50.0 + (session % 10) * 0.01 + k * 0.0001 AS lat, 30.0 + (k * 7 % 100) * 0.0001 AS lon, k * 1.0 AS accuracy, CASE WHEN k % 5 = 0 THEN -1.0 ELSE value / 10 END AS speed, CASE WHEN k % 7 = 0 THEN -1.0 ELSE CAST(k * 36 % 360 AS DOUBLE) END AS course FROM @ev WHERE kind = 'click')",
+    "fix": "(SELECT session, t, line_no, CAST(50.0 + (session % 10) * 0.01 + k * 0.0001 AS DOUBLE) AS lat, CAST(30.0 + (k * 7 % 100) * 0.0001 AS DOUBLE) AS lon, CAST(k AS DOUBLE) AS accuracy, CASE WHEN k % 5 = 0 THEN -1.0 ELSE value / 10 END AS speed, CASE WHEN k % 7 = 0 THEN -1.0 ELSE CAST(k * 36 % 360 AS DOUBLE) END AS course FROM @ev WHERE kind = 'click')",
     "node": "(SELECT p_partkey AS node_id, CAST(500000000 + p_partkey % 45 * 9000 AS BIGINT) AS lat_e7, CAST(300000000 + p_partkey // 45 * 14000 AS BIGINT) AS lon_e7 FROM part)",
 }
 
