@@ -61,8 +61,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = stored(e, "cc")
-    before = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -70,8 +69,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(small.where("u <> v").distinct(), "cc")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each node points at one other at most, which points at none."""
+    return e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
+
+
+def joined_components(part: DataFrame | None, links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """``part`` (node, component; nodes that it lacks are their own) after more links: only components are linked anew."""
+    if part is None:
+        return stored(connected_components(links, u, v), "components")
+    far = lambda x: part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    pairs = links.select(F.col(u).alias("u"), F.col(v).alias("v")).join(far("u"), "u", "left").join(far("v"), "v", "left")
+    pairs = stored(pairs.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    if pairs.isEmpty():
+        return part
+    over = stored(connected_components(pairs), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = part.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = over.select(F.col("component").alias("node"), F.col("top").alias("component")).join(part.select("node"), "node", "left_anti")
+    return stored(old.unionByName(new), "components")

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import connected_components, restrict, stored
+from .common import joined_components, restrict, stored
 from .shingles import EXTRA, frequency_classes, incidence, whole_sets
 
 
@@ -53,9 +53,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(linked).select("u", "v").distinct()
 
 
-def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): members are (id, n, rep), with equal sets under one representative (the smallest id);
-    links are pairs of representatives that join all components of the similarity graph."""
+def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, part): members are (id, n, rep), with equal sets under one representative (the smallest id); part is
+    (node, component) of the representatives that link with another."""
     docs = docs.select(id_col, text_col)
     classes = frequency_classes(docs, text_col, k)
     rows = stored(incidence(docs, id_col, text_col, k, percent, classes), "incidence")
@@ -68,11 +68,11 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     entries = restrict(rows.where("n > 0 and id is not null"), copies, ["id", "a", "b"], "left_anti")
     entries = entries.select("id", "n", F.explode("grams").alias("gram"))
     lists = stored(_shared(entries), "columns")
-    for _ in range(2):  # rows that share too few columns for any link go, and with them columns that only they shared
-        counts = lists.groupBy("id", "n").agg(F.count("*").alias("c"))
-        least = F.ceil(F.col("n") * percent / 100 - 1e-9)  # the smallest partner's size
-        enough = stored(counts.where(F.col("c") >= shared_least(least)).select("id").distinct(), "enough")
-        lists = stored(_shared(restrict(lists.select("id", "n", "gram"), enough, "id")), "columns")
+    # rows that share too few columns for any link go, and with them columns that only they shared
+    counts = lists.groupBy("id", "n").agg(F.count("*").alias("c"))
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9)  # the smallest partner's size
+    enough = stored(counts.where(F.col("c") >= shared_least(least)).select("id").distinct(), "enough")
+    lists = stored(_shared(restrict(lists.select("id", "n", "gram"), enough, "id")), "columns")
 
     in_lists = stored(lists.select("id").distinct(), "rows")
     texts = restrict(docs.withColumn("__id", F.col(id_col).cast("long")), in_lists.withColumnRenamed("id", "__id"), "__id")
@@ -80,8 +80,8 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
     # each long column times one of its rows
     star = stored(lists.where((F.col("id") != F.col("lead")) & _fits(percent, F.col("n"), F.col("lead_n"))).select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(), "star")
-    links = stored(_verified(star, sets, percent), "links")
-    lists, part = _labelled(lists, links)
+    part = joined_components(None, _verified(star, sets, percent))
+    lists = _labelled(lists, part)
 
     # rows that are in another component than their column's first: once more, with the first of these
     rest = Window.partitionBy("gram")
@@ -89,9 +89,10 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     star2 = apart.where((F.col("id") != F.col("second.id")) & _fits(percent, F.col("n"), F.col("second.n"))).select(F.col("id").alias("u"), F.col("second.id").alias("v")).distinct()
     star2 = stored(star2.join(star, ["u", "v"], "left_anti"), "star")
     if not star2.isEmpty():
-        more = stored(_verified(star2, sets, percent), "links")
-        links = stored(links.unionByName(more), "links")
-        lists, part = _labelled(lists.drop("comp", "lead_comp"), links)
+        now = joined_components(part, _verified(star2, sets, percent))
+        if now is not part:
+            part = now
+            lists = _labelled(lists.drop("comp", "lead_comp"), part)
 
     # all that is left: pairs of different components in a column
     left = lists.where("comp <> lead_comp").select("gram", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
@@ -104,27 +105,25 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     cross = stored(counted.where(F.col("c") >= shared_least(F.least("nu", "nv"))).select("u", "v").join(tested, ["u", "v"], "left_anti"), "cross")
     if not cross.isEmpty():
-        links = links.unionByName(_verified(cross, sets, percent))
-    return members, links
+        part = joined_components(part, _verified(cross, sets, percent))
+    return members, part
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The columns' entries with the components of row and first row."""
-    part = stored(connected_components(links, "u", "v"), "components")
+def _labelled(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """The entries of columns of several components, with the components of row and first row."""
     own = part.select(F.col("node").alias("id"), F.col("component").alias("own"))
     lead = part.select(F.col("node").alias("lead"), F.col("component").alias("far"))
     out = lists.join(own, "id", "left").join(lead, "lead", "left")
     out = out.select("gram", "id", "n", "lead", "lead_n", F.coalesce("own", "id").alias("comp"), F.coalesce("far", "lead").alias("lead_comp"))
     mixed = Window.partitionBy("gram")
     out = out.withColumn("mixed", F.max((F.col("comp") != F.col("lead_comp")).cast("int")).over(mixed)).where("mixed = 1").drop("mixed")
-    return stored(out, "columns"), part
+    return stored(out, "columns")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    members, links = jaccard_links(docs, k, percent, id_col, text_col)
-    part = stored(connected_components(links, "u", "v"), "components").select(F.col("node").alias("rep"), F.col("component"))
-    out = members.join(part, "rep", "left")
+    members, part = similarity_classes(docs, k, percent, id_col, text_col)
+    out = members.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
