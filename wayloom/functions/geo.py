@@ -102,32 +102,30 @@ def project(px, py, ax, ay, bx, by) -> Column:
     return F.struct(((px - qx) * (px - qx) + (py - qy) * (py - qy)).alias("d2"), t.alias("t"), qx.alias("qx"), qy.alias("qy"))
 
 
-def _cross(ox, oy, ax, ay, bx, by) -> Column:
-    return (ax - ox) * (by - oy) - (ay - oy) * (bx - ox)
-
-
-def segments_touch(a, b, c, d) -> Column:
-    """Whether segments a-b and c-d share a point; each end is a pair of columns."""
-    d1, d2, d3, d4 = _cross(*c, *d, *a), _cross(*c, *d, *b), _cross(*a, *b, *c), _cross(*a, *b, *d)
-
-    def on(o, e, p):
-        return p[0].between(F.least(o[0], e[0]), F.greatest(o[0], e[0])) & p[1].between(F.least(o[1], e[1]), F.greatest(o[1], e[1]))
-
-    proper = (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0)))
-    return proper | ((d1 == 0) & on(c, d, a)) | ((d2 == 0) & on(c, d, b)) | ((d3 == 0) & on(a, b, c)) | ((d4 == 0) & on(a, b, d))
-
-
 def segment_rectangle_d2(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
-    """Squared distance of segment a-b and a rectangle; 0 where they touch."""
+    """Squared distance of segment a-b and a rectangle; 0 where they touch.
+
+    They touch if the parts of the segment within both slabs overlap; else the distance is from one of its ends to the
+    rectangle or from a corner to the segment."""
     ax, ay, bx, by, x0, y0, x1, y1 = map(_c, (ax, ay, bx, by, x0, y0, x1, y1))
-    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-    sides = list(zip(corners, corners[1:] + corners[:1]))
-    inside = lambda x, y: x.between(x0, x1) & y.between(y0, y1)
-    meets = inside(ax, ay) | inside(bx, by)
-    for c, d in sides:
-        meets = meets | segments_touch((ax, ay), (bx, by), c, d)
-    d2 = [project(*p, *c, *d)["d2"] for c, d in sides for p in ((ax, ay), (bx, by))] + [project(*c, ax, ay, bx, by)["d2"] for c in corners]
-    return F.when(meets, F.lit(0.0)).otherwise(F.least(*d2))
+    dx, dy = bx - ax, by - ay
+
+    def slab(a, d, low, high):
+        """(from, to) along the segment within [low, high] of one axis; empty is (1, 0)."""
+        p, q = (low - a) / F.nullif(d, F.lit(0.0)), (high - a) / F.nullif(d, F.lit(0.0))
+        flat = a.between(low, high)
+        return F.when(d != 0, F.least(p, q)).when(flat, 0.0).otherwise(1.0), F.when(d != 0, F.greatest(p, q)).when(flat, 1.0).otherwise(0.0)
+
+    (u0, u1), (v0, v1) = slab(ax, dx, x0, x1), slab(ay, dy, y0, y1)
+    meets = F.greatest(u0, v0, F.lit(0.0)) <= F.least(u1, v1, F.lit(1.0))
+    zero = F.lit(0.0)
+    ends = [F.pow(F.greatest(zero, x0 - x, x - x1), 2) + F.pow(F.greatest(zero, y0 - y, y - y1), 2) for x, y in ((ax, ay), (bx, by))]
+    n = F.nullif(dx * dx + dy * dy, zero)
+    corners = []
+    for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1)):
+        t = F.least(F.lit(1.0), F.greatest(zero, F.coalesce(((x - ax) * dx + (y - ay) * dy) / n, zero)))
+        corners.append(F.pow(x - ax - t * dx, 2) + F.pow(y - ay - t * dy, 2))
+    return F.when(meets, zero).otherwise(F.least(*ends, *corners))
 
 
 def cell(v, size: float) -> Column:
