@@ -144,7 +144,7 @@ def stream(rows: DataFrame) -> DataFrame:
 def synthetic_drive(spark, sessions: int = 4, seconds: int = 60) -> DataFrame:
     """Rows of drives along a circle: speed and yaw ten times a second, a fix a second until half time. Built by expressions."""
     k = F.col("k")
-    t = k * STEP
+    t = k * F.lit(STEP).cast("long")
     x = spark.range(sessions).select(F.col("id").alias("session")).select("session", F.explode(F.sequence(F.lit(0), F.lit(seconds * 10))).alias("k"))
     yaw, v = 0.02, 15.0
     angle = k / 10 * yaw
