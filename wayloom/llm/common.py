@@ -86,7 +86,7 @@ def joined_components(part: DataFrame | None, links: DataFrame, u: str = "u", v:
     pairs = stored(pairs.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct(), "pairs")
     if pairs.isEmpty():
         return part
-    over = stored(connected_components(pairs), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    over = stored(connected_components(pairs, "u", "v"), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
     old = part.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     new = over.select(F.col("component").alias("node"), F.col("top").alias("component")).join(part.select("node"), "node", "left_anti")
     return stored(old.unionByName(new), "components")
