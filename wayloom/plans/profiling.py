@@ -76,7 +76,7 @@ def counts_map_sum(spark, sf):
 
 @query("weighted_rates", f"""
 WITH {_WINDOWS},
-x AS (SELECT session, w, (max(t) - min(t)) / 1e9 AS seconds, count(*) * 1.0 AS n FROM w GROUP BY session, w)
+x AS (SELECT session, w, (max(t) - min(t)) / 1e9 AS seconds, count(*) * 1e0 AS n FROM w GROUP BY session, w)
 SELECT session, count(*) AS windows,
   round(CASE WHEN sum(greatest(seconds, 0)) > 0 THEN sum(n * greatest(seconds, 0)) / sum(greatest(seconds, 0)) ELSE avg(n) END, 9) AS mean_rate,
   coalesce(min(n) FILTER (seconds >= 3600), min(n)) AS min_rate
