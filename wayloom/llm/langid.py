@@ -4,8 +4,8 @@ Texts become normalised TF-IDF vectors of hashed byte 1-, 2- and 3-grams. Each l
 clustered (spherical k-means) into a few centroids; a text gets the language of the centroid of the largest
 cosine. It is rejected if that cosine is much smaller than those of the language's own training texts.
 
-The model is fitted on a bounded sample (``per_language`` texts of each language, the first by a hash of the
-text); its size is languages x clusters x 2^bits floats. Prediction reads every whole text once, without a shuffle.
+The model is fitted on a bounded sample (``per_language`` distinct texts of each language, the first by a hash of
+the text); its size is languages x clusters x 2^bits floats. Prediction reads every whole text once, without a shuffle.
 
 Results for odd input: a null text and one without a letter is ``und`` with score 0 (and rejected); rows with
 a null language aren't learned from; ties go to the language first by name; repeated rows are predicted alike;
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .common import small_batches, stored
+from .common import MAX_BROADCAST_KEYS, small_batches, stored
 from .grams import gram_counts, idf, log_tf, unit
 
 PER_LANGUAGE = 800
@@ -66,8 +66,14 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
     spark = train.sparkSession
     small_batches(spark)
     texts = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = stored(texts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r"), "languages")
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    # hashes are ranked first (each distinct text once), so that only the sample's texts travel
+    order = Window.partitionBy("lang").orderBy("h")
+    first = texts.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
+    first = stored(first, "sampled")
+    few = first.count() <= MAX_BROADCAST_KEYS
+    sample = texts.join(F.broadcast(first) if few else first, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = stored(sample.drop("h"), "languages")
 
     def vectors(column) -> np.ndarray:
         return np.concatenate([log_tf(gram_counts(s, sizes, bits)) for s in W.slices(column)] or [np.zeros((0, 1 << bits), np.float32)])
