@@ -356,6 +356,23 @@ def test_agreements_of_all_passes(spark, monkeypatch):
     assert found(earlier) == {10, 20}
 
 
+def test_passages_beyond_the_lead(spark):
+    """Two documents share more with each other than with their group's first; touching passages keep all links."""
+    rng = np.random.default_rng(23)
+    new = lambda n: prose(rng, n, 100_000)
+    rows = []
+    for k in range(12):
+        p, q = new(60), new(16)
+        rows += [(10 * k + 1, f"{new(150)} {p} {new(150)}"), *((10 * k + x, f"{new(150)} {p} {q} {new(150)}") for x in (2, 3))]
+    one, two = new(70), new(70)
+    rows += [(1001, f"{new(150)} {one} {new(150)}"), (1002, f"{new(150)} {two} {new(150)}"), (1003, f"{new(90)} {two} {new(90)}"), (1004, f"{new(150)} {one} {two} {new(150)}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ends = {(r["id"], r["start_word"] + r["n_words"]) for r in got}
+    assert sum(any(i == 10 * k + x and e >= 150 + 76 for i, e in ends) for k in range(12) for x in (2, 3)) == 24
+    assert {r["class"] for r in got if r["id"] > 1000} == {1001} and {r["id"] for r in got if r["id"] > 1000} == {1001, 1002, 1003, 1004}
+    assert all(r["class"] == r["id"] // 10 * 10 + 1 for r in got if r["id"] < 1000)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
