@@ -431,6 +431,32 @@ def test_packing(spark, odd, targets):
     assert pack.pack(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("targets", [None, {"s007": 3.0, "s123": 1.0, "s299": 2.0}])
+def test_packing_many_sources(spark, targets):
+    """More than 256 sources: each keeps its own share of every window, and the targets are those of their sources."""
+    rng = np.random.default_rng(12)
+    df = docs_of(spark, [(k, prose(rng, 30 + k % 7), "en", f"s{k % 300:03}") for k in range(600)])
+    p = pack.pack(df, length=512, targets=targets).toPandas()
+    sizes = p.groupby("source").length.sum()
+    assert len(sizes) == 300 and (p.groupby("doc_id").length.sum() == p.groupby("doc_id").doc_tokens.first()).all()
+    for _, g in p.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+    got = p.groupby(["sequence_id", "source"]).length.sum().unstack().fillna(0).cumsum()
+    if targets is None:
+        want = np.minimum(np.outer(np.arange(1, len(got) + 1) * 512, sizes / sizes.sum()), sizes.to_numpy())
+        assert (abs(got - want) <= 1.01).all().all()
+        return
+    # with w = target, or size times the sum of targets by the targets' size, all are served in proportion till one ends
+    weight = sizes * 6.0 / sizes[list(targets)].sum()
+    weight.update({k: float(v) for k, v in targets.items()})
+    active = sizes / weight
+    first = active.min() * weight.sum()
+    for k in range(int(first // 512)):
+        assert (abs(got.iloc[k] - (k + 1) * 512 * weight / weight.sum()) <= 2.01).all()
+    assert len(pack.Schedule(sizes.tolist(), weight.tolist()).x) <= len(targets) + 3
+
+
 def test_schedule_large_totals():
     s = pack.Schedule([10**12, 3 * 10**12, 7])
     w = np.array([0, 1, 10**6, s.total // 4096])

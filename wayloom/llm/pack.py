@@ -9,6 +9,10 @@ the queue alone. So deficits carry across windows *and* partitions without a tas
 With natural shares all queues end together and only the last window is padded. With other targets queues run
 out one by one; the shares are then renormalised over the rest (a phase of the schedule).
 
+Each source has a queue of its own, however many there are. Its part of the schedule (the ends of the phases) is a row
+of a table that is joined by source. Sources without a target of their own run out together, so there are at most two
+phases more than targets; the driver holds sources times phases numbers.
+
 The places come from one pass that tokenises and writes the ids once (with each document's tokens before it
 in its task and queue), a small table of tokens per queue and task, and its prefix sums. Ids aren't shuffled.
 
@@ -29,8 +33,6 @@ from .common import MAX_BROADCAST_KEYS, small_batches, stored
 from .tokens import Encoder
 
 LENGTH = 4096
-#: Queues at most; with more sources, sources share queues by a hash, so the schedule's size is bounded.
-MAX_QUEUES = 256
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,29 +42,34 @@ class Schedule:
 
     def __init__(self, totals: list[int], targets: list[float] | None = None):
         self.total = sum(totals)
-        left, done = list(totals), [0] * len(totals)
-        knots = [list(done)]
-        weights = [float(t) for t in totals] if targets is None else [max(float(t), 1e-12) for t in targets]
-        while any(left):
-            active = [q for q, n in enumerate(left) if n]
+        left, done = np.array(totals, np.int64), np.zeros(len(totals), np.int64)
+        knots = [done]
+        weights = np.maximum(np.array(totals if targets is None else targets, np.float64), 1e-12)
+        while left.any():
             if targets is None:
-                ends = active
-                served = {q: left[q] for q in active}
+                served = left
             else:
-                first = min(active, key=lambda q: left[q] / weights[q])
-                ratio = left[first] / weights[first]
-                served = {q: min(left[q], int(weights[q] * ratio)) for q in active}
-                served[first] = left[first]
-                ends = [first]
-            for q, n in served.items():
-                done[q] += n
-                left[q] -= n
-            assert ends
-            knots.append(list(done))
-        self.queue = np.array([[0] * len(totals)] + [[0] * len(totals)] if len(knots) == 1 else knots, dtype=np.int64)
+                ratios = np.where(left > 0, left / weights, np.inf)
+                served = np.minimum(left, np.floor(weights * ratios.min()).astype(np.int64))
+                # those that end here but for the tokens rounded away end together
+                served = np.where((left - served <= len(knots)) | (ratios == ratios.min()), left, served)
+            done, left = done + served, left - served
+            knots.append(done)
+        self.queue = np.array(knots * 2 if len(knots) == 1 else knots, dtype=np.int64)
         self.cum = np.cumsum(self.queue, axis=1) if totals else self.queue
         self.x = self.cum[:, -1] if totals else np.zeros(len(self.queue), np.int64)
 
+    def knots(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All that queue q needs of the schedule: x, F_(q-1)(x) and F_q(x) at the ends of the phases."""
+        return self.x, self.cum[:, q - 1] if q else np.zeros_like(self.x), self.cum[:, q]
+
+    @classmethod
+    def of(cls, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> Schedule:
+        """The schedule with one queue's knots: as queue 1, after all those before it as queue 0."""
+        one = cls.__new__(cls)
+        one.x, one.cum, one.total = x, np.stack([low, high], axis=1), int(x[-1])
+        return one
+
     def upto(self, q: int, x: np.ndarray) -> np.ndarray:
         """F_q(x); q = -1 is 0."""
         x = np.minimum(np.asarray(x, np.int64), self.total)
@@ -123,7 +130,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.mapInArrow(encode, "doc_id long, source string, block long, before long, n long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = 2, max_queues: int = MAX_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = 2) -> DataFrame:
     """The pieces of all documents: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``targets``: token proportions by source (those missing get weight by their size); none: natural shares.
@@ -131,40 +138,42 @@ def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, id_col, text_col, source_col, path, end_id), "tokens")
     sums = stored(tokens.groupBy("source", "block").agg(F.sum("n").alias("tokens")), "sums")
-    few = sums.select("source").distinct().limit(max_queues + 1).count() <= max_queues
-    queue = F.col("source") if few else F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
-    by_queue = sums.withColumn("queue", queue)
-    totals = sorted((r["queue"], r["t"], r["s"]) for r in by_queue.groupBy("queue").agg(F.sum("tokens").alias("t"), F.min("source").alias("s")).collect())
-    names = {name: k for k, (name, _, _) in enumerate(totals)}
+    totals = sorted((r["source"], r["t"]) for r in sums.groupBy("source").agg(F.sum("tokens").alias("t")).collect())
     goals = None
     if targets is not None:
-        known, all_tokens = sum(t for _, t, s in totals if s in targets), sum(t for _, t, _ in totals)
-        goals = [targets[s] if s in targets else (sum(targets.values()) or 1.0) * t / max(known, 1 if not all_tokens else known or all_tokens) for _, t, s in totals]
-    plan = Schedule([t for _, t, _ in totals], goals)
+        known, all_tokens = sum(t for s, t in totals if s in targets), sum(t for _, t in totals)
+        goals = [targets[s] if s in targets else (sum(targets.values()) or 1.0) * t / max(known, 1 if not all_tokens else known or all_tokens) for s, t in totals]
+    plan = Schedule([t for _, t in totals], goals)
+    phases = [(s, *(k.tolist() for k in plan.knots(q))) for q, (s, _) in enumerate(totals)]
+    phases = stored(spark.createDataFrame(phases, "source string, x array<long>, low array<long>, high array<long>"), "phases")
 
-    w = Window.partitionBy("queue").orderBy("block", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(by_queue.select("source", "block", "queue", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("base")), "bases")
+    w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("source", "block", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("base"))
+    bases = stored(bases.join(phases, "source"), "bases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, place = b.column("n").to_numpy(), b.column("base").to_numpy() + b.column("before").to_numpy()
-            queues = np.fromiter((names[q] for q in b.column("queue").to_pylist()), np.int64, b.num_rows)
+            named = b.column("source").dictionary_encode()
+            queues = named.indices.to_numpy()
+            plans = {}
             first, last = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for q in np.unique(queues):
+            for q in range(len(named.dictionary)):
                 own = np.flatnonzero(queues == q)
-                first[own] = plan.window_of(q, place[own], length)
-                last[own] = plan.window_of(q, place[own] + n[own] - 1, length)
+                plan = plans[q] = Schedule.of(*(b.column(c)[int(own[0])].values.to_numpy() for c in ("x", "low", "high")))
+                first[own] = plan.window_of(1, place[own], length)
+                last[own] = plan.window_of(1, place[own] + n[own] - 1, length)
             count = last - first + 1
             row = np.repeat(np.arange(b.num_rows), count)
             window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
             begin, end, at = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-            for q in np.unique(queues):
+            for q, plan in plans.items():
                 own = np.flatnonzero(queues[row] == q)
                 wq = window[own]
-                opens = plan.got(q, wq, length)
+                opens = plan.got(1, wq, length)
                 begin[own] = np.maximum(opens, place[row[own]])
-                end[own] = np.minimum(plan.got(q, wq + 1, length), place[row[own]] + n[row[own]])
-                at[own] = begin[own] - opens + plan.upto(q - 1, (wq + 1) * length) - plan.upto(q - 1, wq * length)
+                end[own] = np.minimum(plan.got(1, wq + 1, length), place[row[own]] + n[row[own]])
+                at[own] = begin[own] - opens + plan.upto(0, (wq + 1) * length) - plan.upto(0, wq * length)
             full = end > begin
             row, window, begin, end, at = row[full], window[full], begin[full], end[full], at[full]
             start, size = begin - place[row], end - begin
@@ -182,9 +191,9 @@ def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None
                 ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    small = bases.count() <= MAX_BROADCAST_KEYS
+    small = bases.count() * len(plan.x) <= MAX_BROADCAST_KEYS
     joined = tokens.join(F.broadcast(bases) if small else bases, ["source", "block"])
-    return joined.select("doc_id", "source", "queue", "base", "before", "n", "ids").mapInArrow(cut, PIECES)
+    return joined.select("doc_id", "source", "base", "before", "n", "ids", "x", "low", "high").mapInArrow(cut, PIECES)
 
 
 def op6_mixture_packing(spark, sf_dir: str) -> DataFrame:
