@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,13 +15,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="wayloom-")
-        spark.sparkContext.setCheckpointDir(where)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return where.rstrip("/")
 
 
@@ -28,11 +26,65 @@ def table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wayloom/{uuid.uuid4().hex}/{label}"
 
 
+#: The open scopes, innermost last: the tables that each has written, by path, with the DataFrames that read them.
+_scopes: list[dict[str, DataFrame | None]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, but for those named to ``keep``: these go to the scope around it, or stay
+    where there is none. What leaves the scope may read kept tables only."""
+    own: dict[str, DataFrame | None] = {}
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hands a stored table of the innermost scope to the scope around it."""
+    for path, one in list(_scopes[-1].items()) if _scopes else []:
+        if one is df:
+            del _scopes[-1][path]
+            if len(_scopes) > 1:
+                _scopes[-2][path] = df
+    return df
+
+
+def owned(path: str) -> str:
+    """A folder (of files that tasks write themselves) that ends with the innermost scope."""
+    if _scopes:
+        _scopes[-1][path] = None
+    return path
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes stored tables of the innermost scope whose consumers are written."""
+    for df in tables:
+        for path, one in list(_scopes[-1].items()) if _scopes else []:
+            if one is df:
+                del _scopes[-1][path]
+                remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])  # the folder of its own around each table
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives executors."""
     path = table_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1][path] = None
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1][path] = out
+    return out
 
 
 def small_batches(spark: SparkSession, records: int = 1000) -> None:
@@ -62,6 +114,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = stored(e, "cc")
     while not _stars(e):
+        old = e
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -69,6 +122,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(small.where("u <> v").distinct(), "cc")
+        drop(old)
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 

@@ -2,36 +2,34 @@
 
 The product's entries are overlap counts. Columns are dealt out in blocks (the shuffle partitions of the n-gram), each
 block adds its share of every pair's overlap, and pairs are discarded by bounds that follow from the set
-sizes: sizes must be within the threshold of each other; of each row only the prefix that a link needs to
-share is multiplied at first. A link needs an overlap of t n at least for both sizes n, so two prefixes of n - t n + e(n)
-columns share e of the smaller size at least (the columns of the set whose prefix ends first are all within
-the other's prefix, or among its own last t n - e): pairs whose prefixes overlap less are discarded, and so
-are rows that share fewer columns with all others together. The survivors' whole product is the exact count.
-
-Rows with equal sets are one row of the matrix. n-grams are ordered from rare to frequent (``shingles``), so passages
-that many documents share stay out of the prefixes of documents that have anything else. Columns that remain
-long (a group of near copies shares all its columns) are multiplied with one row of theirs first; rows that this
-links are one component. Then only pairs of *different* components are multiplied in full, so a group of near
-copies costs about its size, and no link between components is lost.
+sizes. A link of sizes n and m needs an overlap of o = ceil(t (n + m) / (1 + t)). n-grams are ordered from rare to
+frequent (``shingles``), and the first e common ones of a linked pair stand before place n - o + e of the one set and
+m - o + e of the other (else fewer than o could be common). So a column counts for a pair only where both places are
+within these bounds, and a pair goes on only if e columns count, e growing with the smaller size.
+
+Rows with equal sets are one row of the matrix. Each column is multiplied with one of its rows first, that which shares
+the largest part of its columns (in a group of near copies the one that was edited least), then the rows in other
+components with one of themselves. What this links is one component. The rest, pairs of *different* components, is
+multiplied by (column, band of the smaller size): a row stands in its own band as the smaller one and in the
+bands of its possible partners as the larger one, cut at the bound of that band. Rows that share fewer than e such
+columns with rows of other components go before any pair is made: a copy with many words of its own has these
+first, so within its own band it has no column left. So a group of near copies costs about its size, and no link
+between components is lost.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with nothing; rows
 with a null id link with nothing and have a null component; rows that repeat an id are one node of the graph,
-with the size of each row's own set; an empty table gives no rows; other columns don't matter.
+with the size of each row's own set; a very long text is a row like others, hashed as a whole; an empty table gives no
+rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from .common import joined_components, restrict, stored
-from .shingles import EXTRA, frequency_classes, incidence, whole_sets
+from math import log
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries of columns that two rows share at least, with the first row of each."""
-    column = Window.partitionBy("gram")
-    lists = entries.withColumn("lead", F.min(F.struct("id", "n")).over(column)).withColumn("last", F.max("id").over(column))
-    return lists.where(F.col("lead.id") < F.col("last")).select("gram", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
+from .common import drop, joined_components, keep, restrict, scratch, stored
+from .shingles import EXTRA, frequency_classes, incidence, whole_sets
 
 
 def shared_least(n: Column) -> Column:
@@ -39,23 +37,90 @@ def shared_least(n: Column) -> Column:
     return 1 + F.floor(n / EXTRA)
 
 
-def _fits(percent: int, n: Column, m: Column) -> Column:
+def _least_overlap(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _counts(n: Column, i: Column, m: Column, percent: int) -> Column:
+    """Whether place i of a set of size n is within the bound for partners of size m."""
+    return i < n - _least_overlap(n, m, percent) + shared_least(F.least(n, m))
+
+
+def _fits(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets' similarity reaches the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, classes, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) whose whole sets' similarity reaches the threshold."""
+    ids = stored(pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).distinct(), "ids")
+    texts = restrict(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), ids, "__id")
+    sets = stored(whole_sets(texts, "__id", "__text", k, classes), "sets")
     left = sets.select(F.col("id").alias("u"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("grams").alias("y"))
     both = pairs.select("u", "v").join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("x", "y"))
     linked = common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    return both.where(linked).select("u", "v").distinct()
+    out = stored(both.where(linked).select("u", "v").distinct(), "linked")
+    drop(ids, sets)
+    return out
+
+
+def _star(lists: DataFrame, percent: int) -> DataFrame:
+    """(u, v): rows with their columns' most central row, where e columns with that one count."""
+    top = F.struct("central", (-F.col("id")).alias("id"), "n", "i")
+    leads = lists.groupBy("gram").agg(F.max(top).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
+    leads = leads.select("gram", (-F.col("lead.id")).alias("v"), F.col("lead.n").alias("m"), F.col("lead.i").alias("j"))
+    n, m = F.col("n"), F.col("m")
+    pairs = lists.join(leads, "gram").where((F.col("id") != F.col("v")) & _fits(n, m, percent) & _counts(n, F.col("i"), m, percent) & _counts(m, F.col("j"), n, percent))
+    pairs = pairs.groupBy(F.col("id").alias("u"), "v", "n", "m").agg(F.count("*").alias("c")).where(F.col("c") >= shared_least(F.least(n, m)))
+    return stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "star")
+
+
+def _labelled(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """The entries of columns of several components, with the row's component and the column's smallest one."""
+    own = part.select(F.col("node").alias("id"), F.col("component").alias("own"))
+    out = stored(lists.join(own, "id", "left").select("gram", "id", "n", "i", "central", F.coalesce("own", "id").alias("comp")), "labelled")
+    mixed = out.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram", "low")
+    mixed = stored(out.join(mixed, "gram"), "columns")
+    drop(out)
+    return mixed
+
+
+def _cross(lists: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different components with enough columns that count."""
+    n, i = F.col("n"), F.col("i")
+    width = log(100 / percent) / 2
+    band = lambda x: F.floor(F.log(x.cast("double")) / width).cast("int")
+    least = F.ceil(n * percent / 100)
+    small = lists.where(_counts(n, i, n, percent)).select("gram", "id", "n", "i", "comp", F.lit(True).alias("small"), band(n).alias("band"), shared_least(n).alias("e"))
+    large = lists.withColumn("band", F.explode(F.sequence(band(F.greatest(least, F.lit(1))), band(n))))
+    low = F.greatest(least, F.floor(F.exp(F.col("band") * width) - 1e-6))  # the band's sizes, rounded outwards
+    high = F.least(n, F.ceil(F.exp((F.col("band") + 1) * width) + 1e-6))
+    large = large.where(i < n - _least_overlap(n, low, percent) + shared_least(high)).select("gram", "id", "n", "i", "comp", F.lit(False).alias("small"), "band", shared_least(F.greatest(low, F.lit(1))).alias("e"))
+    rows = stored(small.unionByName(large), "banded")
+    side = lambda f, c, s: f(F.when(F.col("small") == s, F.col(c)))
+    keys = rows.groupBy("gram", "band").agg(side(F.min, "comp", True).alias("s0"), side(F.max, "comp", True).alias("s1"), side(F.min, "comp", False).alias("l0"), side(F.max, "comp", False).alias("l1"))
+    keys = stored(keys.where("(l0 <> s0 or l1 <> s1 or s0 <> s1)"), "keys")  # both sides, several components
+    other = F.when(F.col("small"), (F.col("l0") != F.col("comp")) | (F.col("l1") != F.col("comp"))).otherwise((F.col("s0") != F.col("comp")) | (F.col("s1") != F.col("comp")))
+    met = stored(rows.join(keys, ["gram", "band"]).where(other).select("gram", "band", "id", "n", "i", "comp", "small", "e"), "met")
+    drop(rows, keys)
+    enough = met.groupBy("id", "n", "small", "band", "e").agg(F.count("*").alias("c")).where("c >= e").select("id", "n", "small", "band")
+    left = met.join(enough, ["id", "n", "small", "band"])
+    a = left.where("small").select("gram", "band", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("i").alias("si"), F.col("comp").alias("cs"))
+    b = left.where("not small").select("gram", "band", F.col("id").alias("l"), F.col("n").alias("nl"), F.col("i").alias("li"), F.col("comp").alias("cl"))
+    ns, nl = F.col("ns"), F.col("nl")
+    pairs = a.join(b, ["gram", "band"]).where(
+        (F.col("cs") != F.col("cl")) & ((ns < nl) | ((ns == nl) & (F.col("s") < F.col("l")))) & _fits(ns, nl, percent) & _counts(ns, F.col("si"), nl, percent) & _counts(nl, F.col("li"), ns, percent)
+    )
+    pairs = pairs.groupBy("s", "l", "ns", "nl").agg(F.count("*").alias("c")).where(F.col("c") >= shared_least(ns))
+    out = stored(pairs.select(F.least("s", "l").alias("u"), F.greatest("s", "l").alias("v")).distinct(), "cross")
+    drop(met)
+    return out
 
 
 def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, part): members are (id, n, rep), with equal sets under one representative (the smallest id); part is
-    (node, component) of the representatives that link with another."""
+    """(members, part), tables of the open scope: members are (id, n, rep), with equal sets under one representative (the
+    smallest id); part is (node, component) of the representatives that link with another."""
     docs = docs.select(id_col, text_col)
     classes = frequency_classes(docs, text_col, k)
     rows = stored(incidence(docs, id_col, text_col, k, percent, classes), "incidence")
@@ -66,65 +131,34 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     members = stored(members, "members")
     copies = stored(members.where("rep is not null and id <> rep").select("id", "a", "b").distinct(), "copies")
     entries = restrict(rows.where("n > 0 and id is not null"), copies, ["id", "a", "b"], "left_anti")
-    entries = entries.select("id", "n", F.explode("grams").alias("gram"))
-    lists = stored(_shared(entries), "columns")
-    # rows that share too few columns for any link go, and with them columns that only they shared
-    counts = lists.groupBy("id", "n").agg(F.count("*").alias("c"))
-    least = F.ceil(F.col("n") * percent / 100 - 1e-9)  # the smallest partner's size
-    enough = stored(counts.where(F.col("c") >= shared_least(least)).select("id").distinct(), "enough")
-    lists = stored(_shared(restrict(lists.select("id", "n", "gram"), enough, "id")), "columns")
-
-    in_lists = stored(lists.select("id").distinct(), "rows")
-    texts = restrict(docs.withColumn("__id", F.col(id_col).cast("long")), in_lists.withColumnRenamed("id", "__id"), "__id")
-    sets = stored(whole_sets(texts, "__id", text_col, k, classes), "sets")
-
-    # each long column times one of its rows
-    star = stored(lists.where((F.col("id") != F.col("lead")) & _fits(percent, F.col("n"), F.col("lead_n"))).select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(), "star")
-    part = joined_components(None, _verified(star, sets, percent))
-    lists = _labelled(lists, part)
-
-    # rows that are in another component than their column's first: once more, with the first of these
-    rest = Window.partitionBy("gram")
-    apart = lists.where("comp <> lead_comp").withColumn("second", F.min(F.struct("id", "n")).over(rest))
-    star2 = apart.where((F.col("id") != F.col("second.id")) & _fits(percent, F.col("n"), F.col("second.n"))).select(F.col("id").alias("u"), F.col("second.id").alias("v")).distinct()
-    star2 = stored(star2.join(star, ["u", "v"], "left_anti"), "star")
-    if not star2.isEmpty():
-        now = joined_components(part, _verified(star2, sets, percent))
-        if now is not part:
-            part = now
-            lists = _labelled(lists.drop("comp", "lead_comp"), part)
-
-    # all that is left: pairs of different components in a column
-    left = lists.where("comp <> lead_comp").select("gram", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
-    right = lists.select("gram", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"), (F.col("comp") != F.col("lead_comp")).alias("both"))
-    # of two rows that are both on the left side, the pair counts once
-    pairs = left.join(right, "gram").where((F.col("cu") != F.col("cv")) & _fits(percent, F.col("nu"), F.col("nv")) & (~F.col("both") | (F.col("u") < F.col("v"))))
-    overlap = pairs.select("gram", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
-    counted = overlap.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
-    tested = star.unionByName(star2)
-    tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    cross = stored(counted.where(F.col("c") >= shared_least(F.least("nu", "nv"))).select("u", "v").join(tested, ["u", "v"], "left_anti"), "cross")
+    entries = entries.select("id", "n", F.posexplode("grams").alias("i", "gram"))
+    shared = stored(entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "shared")
+    lists = stored(entries.join(shared, "gram").select("gram", "id", "n", "i"), "columns")
+    drop(rows, many, copies, shared)
+    # rows that share too few columns for any link go; of the others, how much of their prefix is shared
+    counts = lists.groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= shared_least(F.ceil(F.col("n") * percent / 100)))
+    counts = stored(counts.select("id", "n", F.floor(F.col("c") * 1000 / F.col("n")).cast("int").alias("central")), "enough")
+    few = stored(lists.join(counts, ["id", "n"]).select("gram", "id", "n", "i", "central"), "columns")
+    drop(lists, counts)
+    lists, part, tested = few, None, None
+    for apart in (F.lit(True), F.col("comp") != F.col("low")):
+        star = _star(lists.where(apart), percent)
+        new = star if tested is None else stored(star.join(tested, ["u", "v"], "left_anti"), "star")
+        part = joined_components(part, _verified(new, docs, k, percent, classes, id_col, text_col))
+        tested = new if tested is None else tested.unionByName(new)
+        lists = _labelled(lists, part)
+    cross = stored(_cross(lists, percent).join(tested, ["u", "v"], "left_anti"), "cross")
     if not cross.isEmpty():
-        part = joined_components(part, _verified(cross, sets, percent))
+        part = joined_components(part, _verified(cross, docs, k, percent, classes, id_col, text_col))
     return members, part
 
 
-def _labelled(lists: DataFrame, part: DataFrame) -> DataFrame:
-    """The entries of columns of several components, with the components of row and first row."""
-    own = part.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    lead = part.select(F.col("node").alias("lead"), F.col("component").alias("far"))
-    out = lists.join(own, "id", "left").join(lead, "lead", "left")
-    out = out.select("gram", "id", "n", "lead", "lead_n", F.coalesce("own", "id").alias("comp"), F.coalesce("far", "lead").alias("lead_comp"))
-    mixed = Window.partitionBy("gram")
-    out = out.withColumn("mixed", F.max((F.col("comp") != F.col("lead_comp")).cast("int")).over(mixed)).where("mixed = 1").drop("mixed")
-    return stored(out, "columns")
-
-
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    members, part = similarity_classes(docs, k, percent, id_col, text_col)
-    out = members.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        members, part = similarity_classes(docs, k, percent, id_col, text_col)
+        out = members.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        return keep(stored(out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")), "classes"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -134,9 +168,10 @@ def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those of a larger id than another of their component."""
-    found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = stored(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
+    """The documents without those of a larger id than another of their component. Rows with a null id stay."""
+    with scratch(docs.sparkSession):
+        found = jaccard_components(docs, k, percent, id_col, text_col)
+        gone = keep(stored(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone"))
     return restrict(docs, gone, id_col, "left_anti")
 
 

@@ -2,8 +2,8 @@
 
 The sketch counts all shingles of all documents in 2^20 hash buckets; its size doesn't grow with the input, and
 neither does the table of frequency classes that is broadcast. A shingle's class is how many times its
-bucket exceeds the mean, in powers of two (0: less than four times). The order (class, hash) is total and the same
-for all documents, so what relies on it stays exact; the sketch only decides how well rare ones come first.
+bucket exceeds nine tenths of all buckets, in powers of the square root of two (0: not at all). The order (class, hash) is
+total and the same for all documents, so what relies on it stays exact; the sketch only decides how well rare ones come first.
 """
 
 from __future__ import annotations
@@ -68,8 +68,8 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int) -> Broadcast:
     for r in sums.collect():  # BLOCKS rows
         total[r["block"]] += np.frombuffer(r["counts"], "<i8")
     total = total.ravel()
-    ratio = total / max(1.0, total.mean())
-    classes = np.where(ratio >= 4, np.clip(np.log2(np.maximum(ratio, 1)), 2, 40) - 1, 0).astype(np.uint8)
+    ratio = total / max(1.0, np.quantile(total, 0.9))
+    classes = np.where(ratio > 1, 1 + np.floor(2 * np.log2(np.maximum(ratio, 1))), 0).astype(np.uint8)
     return spark.sparkContext.broadcast(classes)
 
 
