@@ -7,9 +7,12 @@ new for certain; positives join the snapshot's exact buckets. Every group of mor
 checked byte by byte (texts are grouped by digest *and* text, pre-aggregated in the map tasks), so equal
 digests of different texts are told apart.
 
+Buckets are as many as the larger side needs, and each digest stands once on either side, so no bucket is hot.
+
 Results for odd input: a null text counts as empty; rows with a null id count in their group and stay only
 if the group has no other id; rows that repeat an id with an equal text are the same document and are all
-marked alike; an empty table gives no rows; other columns are ignored whatever their names.
+marked alike; a very long text is hashed and compared as a whole; an empty table gives no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fuse
-from .common import lower_ascii, restrict, stored
+from .common import drop, keep, lower_ascii, restrict, scratch, stored
 
 #: Distinct digests of a snapshot bucket, about.
 BUCKET_KEYS = 1 << 17
@@ -63,25 +66,32 @@ def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return left.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(look, "digest binary, top_id long, n long, maybe boolean")
 
 
-def exact_groups(batches: list[DataFrame], id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_groups(batches: list[DataFrame], id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, late: Column | None = None) -> DataFrame:
     """One row for each row of the batches: id, digest, keep_id, group_size, kept.
 
-    ``digest`` may be exchanged (tests use a weak one to force collisions).
+    ``digest`` may be exchanged (tests use a weak one to force collisions). With ``late``, a column of the only DataFrame
+    given, its rows are the snapshot where that is false and the batch where it is true.
     """
     texts = None
     for k, b in enumerate(batches):
         norm = lower_ascii(F.col(text_col))
-        one = b.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"), digest(norm).alias("digest"), F.lit(k).alias("batch"))
+        batch = F.lit(k) if late is None else late.cast("int")
+        one = b.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"), digest(norm).alias("digest"), batch.alias("batch"))
         texts = one if texts is None else texts.unionByName(one)
+    with scratch(texts.sparkSession):
+        return keep(stored(_grouped(texts, len(batches) if late is None else 2), "groups"))
+
+
+def _grouped(texts: DataFrame, batches: int) -> DataFrame:
     rows = stored(texts.select("id", "digest", "batch"), "digests")
     group = lambda df: df.groupBy("digest").agg(F.max("id").alias("top_id"), F.count("*").alias("n"))
     groups = group(rows.where("batch = 0"))
-    for k in range(1, len(batches)):
-        snapshot = stored(groups, "snapshot")
-        buckets = max(LEAST_BUCKETS, 1 << max(0, (snapshot.count() // BUCKET_KEYS).bit_length()))
+    for k in range(1, batches):
+        snapshot, batch = stored(groups, "snapshot"), stored(group(rows.where(F.col("batch") == k)), "batch")
+        buckets = max(LEAST_BUCKETS, 1 << max(0, (max(snapshot.count(), batch.count()) // BUCKET_KEYS).bit_length()))
         filters = stored(bucket_filters(snapshot, buckets), "filters")
-        new = screen(group(rows.where(F.col("batch") == k)), filters, buckets)
-        new = stored(new, "screened")
+        new = stored(screen(batch, filters, buckets), "screened")
+        drop(batch, filters)
         old = snapshot.select("digest", F.col("top_id").alias("old_id"), F.col("n").alias("old_n"))
         merged = old.join(new.where("maybe"), "digest", "full_outer").select("digest", F.greatest("top_id", "old_id").alias("top_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
         groups = merged.unionByName(new.where("not maybe").drop("maybe"))
@@ -107,11 +117,15 @@ def _per_digest():
     return Window.partitionBy("digest")
 
 
+def second_half(id_col: str) -> Column:
+    """The rows that arrive after the snapshot: ids with an odd crc32, and null ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 2, F.lit(1)) == 1
+
+
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents`` in two batches: ids with an even crc32 are the snapshot, the others arrive later."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    late = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(1)) == 1
-    found = exact_groups([docs.where(~late), docs.where(late)])
+    found = exact_groups([docs], late=second_half("doc_id"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -126,7 +140,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose text a document of larger id repeats."""
-    found = exact_groups([docs], id_col, text_col)
-    gone = stored(found.where("not kept and id is not null").select(F.col("id").alias(id_col)).distinct(), "gone")
+    """The documents without those whose text a document of larger id repeats, as a snapshot and a batch. Rows with a null id stay."""
+    with scratch(docs.sparkSession):
+        found = exact_groups([docs], id_col, text_col, late=second_half(id_col))
+        gone = keep(stored(found.where("not kept and id is not null").select(F.col("id").alias(id_col)).distinct(), "gone"))
     return restrict(docs, gone, id_col, "left_anti")
