@@ -12,7 +12,8 @@ checked against the total length; then chunked framing is decoded and the payloa
 Revisits take their length from the record they refer to, by a join on the record identifier.
 
 Results for odd input: a null payload is empty; rows that repeat an id with an equal payload are each a record
-of the same type; a row with a null id is a response only if no equal payload has an id; a null url is empty;
+of the same type, and with other payloads records of their own (record identifiers are made of id and payload); a very
+long payload is cut into segments; a row with a null id is a response only if no equal payload has an id; a null url is empty;
 an empty table writes no archive and gives no rows; other columns are ignored. A missing segment, a wrong
 total length, broken framing or a wrong digest is an error in strict reading and else marked in ``problem``.
 """
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MAX_BROADCAST_KEYS, small_batches, stored, table_path
+from .common import MAX_BROADCAST_KEYS, keep, owned, scratch, small_batches, stored, table_path
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
@@ -38,8 +39,8 @@ _SPACE = uuid.UUID("6d2b4a7e-3c7e-5f0e-9d8e-2f6f0a51c001")
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page {page}')}>"
+def record_id(page: int | None, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page {page} {payload_digest}')}>"
 
 
 def digest(payload: bytes) -> str:
@@ -77,19 +78,21 @@ def record(kind: str, rid: str, block: bytes, fields: dict[str, str]) -> bytes:
 def page_records(page: int | None, url: str, payload: bytes, refers_to: int | None, is_revisit: bool, segment: int = SEGMENT) -> list[bytes]:
     """The record of a page: one, or the first segment and its continuations."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    fields = {"WARC-Target-URI": " ".join(url.split()), "WARC-Payload-Digest": "sha1:" + digest(payload), "WARC-Page": "" if page is None else str(page)}
+    said = digest(payload)
+    own = record_id(page, said)
+    fields = {"WARC-Target-URI": " ".join(url.split()), "WARC-Payload-Digest": "sha1:" + said, "WARC-Page": "" if page is None else str(page)}
     if is_revisit:
-        fields |= {"WARC-Refers-To": record_id(refers_to), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-        return [record("revisit", record_id(page), http + b"\r\n", fields | {"Content-Type": "application/http; msgtype=response"})]
+        fields |= {"WARC-Refers-To": record_id(refers_to, said), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+        return [record("revisit", own, http + b"\r\n", fields | {"Content-Type": "application/http; msgtype=response"})]
     fields["Content-Type"] = "application/http; msgtype=response"
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
-        return [record("response", record_id(page), block, fields)]
+        return [record("response", own, block, fields)]
     origin = f"<urn:uuid:{uuid.uuid4()}>"  # of this row's segments, also where rows repeat an id
     out, parts = [], [block[k : k + segment] for k in range(0, len(block), segment)]
     for k, part in enumerate(parts):
         if k == 0:
-            out.append(record("response", origin, part, fields | {"WARC-Segment-Number": "1", "WARC-Refers-Page-ID": record_id(page)}))
+            out.append(record("response", origin, part, fields | {"WARC-Segment-Number": "1", "WARC-Refers-Page-ID": own}))
         else:
             more = {"WARC-Segment-Origin-ID": origin, "WARC-Segment-Number": str(k + 1)}
             if k + 1 == len(parts):
@@ -235,7 +238,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         head |= {"payload_bytes": len(payload or b""), "payload": payload if payloads else None, "block": None, "problem": problem}
         return pa.Table.from_pylist([head], schema)
 
-    files = max(1, min(manifest.count(), 4096))
+    size = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    files = max(1, min(size["n"], 4096), size["b"] >> 28)  # 256 MB of archives a task at most
     parts = stored(manifest.select("path").repartition(files, "path").mapInArrow(read, PARTS), "records", "zstd")
     whole = parts.where("segment is null")
     joined = parts.where("segment is not null").groupBy("origin").applyInArrow(join, PARTS.replace("origin string, ", "origin string, "))
@@ -260,7 +264,8 @@ def resolve(records: DataFrame, strict: bool = True) -> DataFrame:
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written into archives in the shared folder and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    manifest = write_archives(pages, table_path(spark, "archives"))
-    records = stored(read_archives(manifest, payloads=False), "read")
+    with scratch(spark):
+        manifest = write_archives(pages, owned(table_path(spark, "archives")))
+        records = keep(stored(read_archives(manifest, payloads=False), "read"))
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
     return resolve(records).select(number("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_page").alias("refers_to"))
