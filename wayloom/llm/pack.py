@@ -7,17 +7,19 @@ difference of two floors of cumulative shares, F_q(x) - F_(q-1)(x): each queue i
 its share, a window is always full, and any task can tell the windows of its own documents from their place in
 the queue alone. So deficits carry across windows *and* partitions without a task that sees a whole queue.
 With natural shares all queues end together and only the last window is padded. With other targets queues run
-out one by one; the shares are then renormalised over the rest (a phase of the schedule).
+out one by one; the shares are then renormalised over the rest (a phase of the schedule). The query and the pipeline ask
+for tempered shares: a source's target is its tokens to the power ``TEMPER``, so that small sources gain.
 
 Each source has a queue of its own, however many there are. Its part of the schedule (the ends of the phases) is a row
 of a table that is joined by source. Sources without a target of their own run out together, so there are at most two
-phases more than targets; the driver holds sources times phases numbers.
+phases more than targets; the driver holds a number for each source and phase.
 
 The places come from one pass that tokenises and writes the ids once (with each document's tokens before it
 in its task and queue), a small table of tokens per queue and task, and its prefix sums. Ids aren't shuffled.
 
 Results for odd input: a null or empty text has only the end id; a null source is a queue of its own; rows that
-repeat an id are packed each by itself; an empty table gives no rows; other columns are ignored.
+repeat an id are packed each by itself; a very long text is tokenised whole and cut over as many windows as it takes; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import MAX_BROADCAST_KEYS, small_batches, stored
+from .common import MAX_BROADCAST_KEYS, keep, scratch, small_batches, stored
 from .tokens import Encoder
 
 LENGTH = 4096
+#: Targets of the query and the pipeline: token shares to this power.
+TEMPER = 0.7
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -130,16 +134,24 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.mapInArrow(encode, "doc_id long, source string, block long, before long, n long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = 2, temper: float | None = None) -> DataFrame:
     """The pieces of all documents: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``targets``: token proportions by source (those missing get weight by their size); none: natural shares.
+    ``targets``: token proportions by source (those missing get weight by their size); ``temper``: they are the sources'
+    tokens to this power; neither: natural shares.
     """
+    with scratch(docs.sparkSession):
+        return _packed(docs, length, targets, id_col, text_col, source_col, path, end_id, temper)
+
+
+def _packed(docs: DataFrame, length: int, targets: dict[str, float] | None, id_col: str, text_col: str, source_col: str, path: str | None, end_id: int, temper: float | None) -> DataFrame:
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, id_col, text_col, source_col, path, end_id), "tokens")
     sums = stored(tokens.groupBy("source", "block").agg(F.sum("n").alias("tokens")), "sums")
     totals = sorted((r["source"], r["t"]) for r in sums.groupBy("source").agg(F.sum("tokens").alias("t")).collect())
     goals = None
+    if temper is not None:
+        targets = {s: t**temper for s, t in totals}
     if targets is not None:
         known, all_tokens = sum(t for s, t in totals if s in targets), sum(t for _, t in totals)
         goals = [targets[s] if s in targets else (sum(targets.values()) or 1.0) * t / max(known, 1 if not all_tokens else known or all_tokens) for s, t in totals]
@@ -192,10 +204,12 @@ def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None
             )
 
     small = bases.count() * len(plan.x) <= MAX_BROADCAST_KEYS
+    keep(tokens)
+    keep(bases)
     joined = tokens.join(F.broadcast(bases) if small else bases, ["source", "block"])
     return joined.select("doc_id", "source", "base", "before", "n", "ids", "x", "low", "high").mapInArrow(cut, PIECES)
 
 
 def op6_mixture_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents, natural token shares of the sources in every window of 4096."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+    """All documents, tempered token shares of the sources in every window of 4096 while they last."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), temper=TEMPER)
