@@ -16,7 +16,7 @@ from wayloom.llm import chat, exact, fuse, knn, langid, media, mixing, ngram_joi
 from wayloom.llm import words as W
 from wayloom.llm.common import connected_components, joined_components, table_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, block string, lead long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, block string, lead long, score double, rejected boolean, lang_pred string, tokens long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -26,7 +26,7 @@ def lower(text):
 
 def docs_of(spark, rows):
     """Documents of (doc_id, text, lang, source), with extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(*r, 0, "x", 1, "y", 2) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 0, "x", 1, "y", 2, 0.5, True, "z", 3) for r in rows], SCHEMA).withColumn("__text", F.lit("t"))
 
 
 def prose(rng, n, vocabulary=400):
@@ -130,6 +130,12 @@ def test_ngram_join_brute_force(spark, odd):
             w[p] = f"x{k}"
         rows.append((100 + k, " ".join(w)))
     rows += [(200 + k, passage + " " + prose(rng, int(rng.integers(1, 80)), 10_000)) for k in range(30)]
+    far = prose(rng, 80, 10_000).split()
+    for k in range(150):  # near copies of which many are too far apart, and none is the original
+        w = list(far)
+        for p in rng.choice(80, 1 + k % 6, replace=False):
+            w[p] = f"y{k}.{p}"
+        rows.append((300 + k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for k, percent in ((4, 85), (5, 80)):
         want = brute_components(shingle_sets(rows, k), percent)
@@ -160,6 +166,15 @@ def test_warc_round_trip(spark):
     assert out["3", "revisit"]["refers_page"] == "4" and out["", "revisit"]["payload_bytes"] == 0
 
 
+def test_warc_repeated_ids(spark):
+    """An id that stands for several payloads is a record for each."""
+    pages = spark.createDataFrame([(5, "u", "a"), (5, "u", "b"), (3, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    out = warc.resolve(warc.read_archives(warc.write_archives(pages, table_path(spark, "archives")))).collect()
+    got = sorted((r["page"], r["record_type"], r["digest"], r["refers_page"]) for r in out)
+    a, b = warc.digest(b"a"), warc.digest(b"b")
+    assert got == sorted([("5", "response", a, None), ("5", "response", b, None), ("3", "revisit", a, "5"), ("2", "revisit", b, "5")], key=str)
+
+
 def test_warc_damage(spark, tmp_path):
     def archive(name, records):
         import gzip
@@ -196,15 +211,26 @@ def test_warc_query(spark):
 
 def test_raking_meets_targets(spark):
     rng = np.random.default_rng(2)
-    cells = spark.createDataFrame([(s, g, t, int(rng.integers(1, 1000))) for s in "abc" for g in "xy" for t in "uv"], "source string, lang string, topic string, tokens long")
-    targets = {d: mixing.tempered(cells, d, p) for d, p in mixing.POWERS.items()}
-    out = mixing.rake(cells, targets, 15).toPandas()
-    for d, t in targets.items():
-        got = (out.groupby(d).w.sum() / out.w.sum()).to_dict()
-        for r in t.collect():
-            assert abs(got[r[d]] - r["share"]) < 1e-6
-    c = mixing.calibrated(spark.createDataFrame(out), 0.7).toPandas()
-    assert abs((c.p * c.tokens).sum() / c.tokens.sum() - 0.7) < 1e-9 and (c.p <= 1).all()
+    cells = spark.createDataFrame([(s, g, t, int(rng.integers(1, 1000))) for s in "abc" for g in "xy" for t in "uv"] + [("d", "x", "u", 0)], "source string, lang string, topic string, tokens long")
+    found, tokens, far = mixing.fitted(cells)
+    c = found.toPandas()
+    assert far <= mixing.TOLERANCE and (c.p <= 1).all() and (c.p > 0).all() and c[c.source == "d"].p.tolist() == [1.0]
+    kept = c.p * c.tokens
+    assert abs(kept.sum() - tokens) < 1e-3 * tokens
+    for d, power in mixing.POWERS.items():  # the expected shares of the kept tokens, not only the weights
+        sums = c[c.tokens > 0].groupby(d).tokens.sum() ** power
+        got = kept.groupby(c[d]).sum()
+        assert all(abs(got[v] / kept.sum() - sums[v] / sums.sum()) < 1e-5 for v in sums.index)
+
+
+def test_sampled_shares(spark):
+    """The tokens of the documents that are kept have the targets' shares, but for the sampling of whole documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mixed(docs).withColumn("tokens", mixing.token_count(F.col("text"))).toPandas()
+    for d, power in mixing.POWERS.items():
+        sums = rows.groupby(f"__{d}").tokens.sum() ** power
+        got = rows[rows.__kept].groupby(f"__{d}").tokens.sum()
+        assert abs(got / got.sum() - sums / sums.sum()).max() < 0.04
 
 
 def test_mixing_odd_rows(spark, odd):
@@ -212,7 +238,6 @@ def test_mixing_odd_rows(spark, odd):
     assert len(out) == odd.count() and all(0 < r["__p"] <= 1 for r in out)
     assert mixing.sample_mixed(odd).columns == odd.columns
     assert mixing.sample_mixed(docs_of(spark, [])).count() == 0
-    assert mixing.sample_mixed(odd, budget=1.0).count() == odd.count()
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
@@ -389,8 +414,9 @@ def test_fuse_filter():
 def test_exact_groups(spark, odd):
     rows = [(r["doc_id"], lower(r["text"])) for r in odd.collect()]
     for digest in (exact.sha256, lambda t: F.substring(F.sha2(t, 256), 1, 1).cast("binary")):
-        for batches in ([odd], [odd.where("doc_id % 2 = 0"), odd.where("doc_id % 2 = 1 or doc_id is null"), odd.limit(0)]):
-            got = exact.exact_groups(batches, digest=digest).collect()
+        late = exact.second_half("doc_id")
+        for batches, how in (([odd], {}), ([odd.where("doc_id % 2 = 0"), odd.where("doc_id % 2 = 1 or doc_id is null"), odd.limit(0)], {}), ([odd], {"late": late}), ([odd], {"late": ~F.col("doc_id").eqNullSafe(7)})):
+            got = exact.exact_groups(batches, digest=digest, **how).collect()
             want = []
             for i, t in rows:
                 ids = [j for j, u in rows if u == t]
@@ -403,11 +429,13 @@ def test_exact_groups(spark, odd):
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0}])
+@pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0}, "tempered"])
 def test_packing(spark, odd, targets):
     extra = [(500 + k, prose(np.random.default_rng(k), 400), "en", "abc"[k % 3]) for k in range(60)]
     df = odd.unionByName(docs_of(spark, extra))
-    p = pack.pack(df, length=512, targets=targets).toPandas()
+    temper = 0.7 if targets == "tempered" else None
+    targets = None if temper else targets
+    p = pack.pack(df, length=512, targets=targets, temper=temper).toPandas()
     texts = [(r["doc_id"], r["text"] or "") for r in df.collect()]
     tk = tokens.Encoder().tokenizer
     total = sum(len(tk.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts)
@@ -417,13 +445,19 @@ def test_packing(spark, odd, targets):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
         assert g.length.sum() == 512 or s == p.sequence_id.max()
     for i, t in texts:
-        if i is None or i == 9:
+        if i in (None, 9) or sum(j == i for j, _ in texts) > 1:
             continue
         ids = np.array(tk.encode(t, add_special_tokens=False).ids + [2], "<u4")
         g = p[p.doc_id == i].sort_values("start")
         assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids) and (g.doc_tokens == len(ids)).all()
         assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g.start, g.length)] == g.ids_crc32.tolist()
-    if targets is None:  # every full window has each source's share
+    if temper:  # until a queue ends, every window has each source's target
+        sizes = p.groupby("source").length.sum()
+        goal = sizes**temper / (sizes**temper).sum()
+        last = int((sizes / goal).min() // 512)
+        window = p.groupby(["sequence_id", "source"]).length.sum().unstack().fillna(0).cumsum()
+        assert last > 3 and (abs(window[:last] - np.outer(np.arange(1, last + 1) * 512, goal)) <= 2.01).all().all()
+    elif targets is None:  # every full window has each source's share
         share = p.groupby("source").length.sum() / total
         window = p[p.sequence_id < p.sequence_id.max()].groupby(["sequence_id", "source"]).length.sum().unstack().fillna(0).cumsum()
         want = np.outer(np.arange(1, len(window) + 1), share * 512)

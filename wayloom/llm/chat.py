@@ -11,14 +11,14 @@ another template survives inside a text, and the escape is reversible. The loss
 
 Results for odd input: a null text or role is empty; rows of one conversation that repeat a turn follow each
 other by role and text; nodes on a cycle, or under one, belong to no path; equal branch scores go to the
-larger leaf key; an empty table gives no conversation; other columns are ignored.
+larger leaf key; very long texts are formatted whole; an empty table gives no conversation; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import drop, keep, scratch, stored
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -131,8 +131,9 @@ def op8_reply_trees(spark, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts are control strings of a template."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    nodes = stored(conversation_nodes(turns.unionByName(odd)), "nodes")
-    out = stored(reply_trees(nodes), "formatted")
+    with scratch(spark):
+        nodes = stored(conversation_nodes(turns.unionByName(odd)), "nodes")
+        out = keep(stored(reply_trees(nodes), "formatted"))
     read = parsed(out)
     of = F.split("leaf", ":")[0]
     return read.select(

@@ -9,7 +9,9 @@ with the similarity.
 
 Results for odd input: an empty or null text, or one unlike any labelled text, scores the share of label 1; a
 document with several labels counts as their majority (ties: 1); rows with a null id, label or text aren't
-learned from; neighbours of equal similarity vote by their place in the sample; without labels every score is 0.5.
+learned from; neighbours of equal similarity vote by their place in the sample; rows that repeat an id are scored each by
+its own text; a very long text is read as a whole, in a slice of its own; without labels every score is 0.5; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import small_batches, stored
+from .common import scratch, small_batches, stored
 from .grams import gram_counts, idf, log_tf, unit
 from .langid import held_out
 
@@ -31,7 +33,7 @@ NEIGHBOURS = 15
 BITS = 12
 BLOCK = 256
 THRESHOLD = 0.7
-#: Extra terms: a word that repeats the one before it, and the same two words before, in powers of two.
+#: Extra terms: the share of words that equal the one before it, and the one two before, in tenths.
 REPEATS = 24
 
 
@@ -65,6 +67,11 @@ def latent(x: np.ndarray, dimensions: int, seed: int = 7) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, dimensions: int = DIMENSIONS) -> dict:
     """The model: term weights, projection, latent vectors of the labelled texts and their labels."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, label_col, id_col, text_col, labelled, dimensions)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, labelled: int, dimensions: int) -> dict:
     spark = docs.sparkSession
     small_batches(spark)
     one = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")

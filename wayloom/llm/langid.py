@@ -9,7 +9,8 @@ the text); its size is languages x clusters x 2^bits floats. Prediction reads ev
 
 Results for odd input: a null text and one without a letter is ``und`` with score 0 (and rejected); rows with
 a null language aren't learned from; ties go to the language first by name; repeated rows are predicted alike;
-without any training text every prediction is ``und``; other columns don't matter.
+a very long text is read as a whole, in a slice of its own; without any training text every prediction is ``und``; an empty
+table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .common import MAX_BROADCAST_KEYS, small_batches, stored
+from .common import MAX_BROADCAST_KEYS, drop, scratch, small_batches, stored
 from .grams import gram_counts, idf, log_tf, unit
 
 PER_LANGUAGE = 800
@@ -63,14 +64,25 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
     """Centroids from at most ``per_language`` texts of each language."""
+    with scratch(train.sparkSession):
+        return _fitted(train, text_col, lang_col, per_language, clusters, bits, sizes)
+
+
+def _fitted(train: DataFrame, text_col: str, lang_col: str, per_language: int, clusters: int, bits: int, sizes: tuple[int, ...]) -> Model:
     spark = train.sparkSession
     small_batches(spark)
     texts = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     texts = texts.withColumn("h", F.xxhash64("text"))
     # hashes are ranked first (each distinct text once), so that only the sample's texts travel
+    # hashes are counted by their first byte, and only those up to the byte that completes a sample are ranked
+    hashes = stored(texts.select("lang", "h", F.shiftright("h", 56).alias("byte")).distinct(), "hashes")
+    upto = Window.partitionBy("lang").orderBy("byte")
+    counts = hashes.groupBy("lang", "byte").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    cuts = counts.where(F.col("before") < per_language).groupBy("lang").agg(F.max("byte").alias("last"))
     order = Window.partitionBy("lang").orderBy("h")
-    first = texts.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
-    first = stored(first, "sampled")
+    first = hashes.join(cuts, "lang").where("byte <= last").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    first = stored(first.select("lang", "h"), "sampled")
+    drop(hashes)
     few = first.count() <= MAX_BROADCAST_KEYS
     sample = texts.join(F.broadcast(first) if few else first, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     sample = stored(sample.drop("h"), "languages")
@@ -110,6 +122,12 @@ def _has_letter(s: W.Slice) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """The columns ``keep`` with lang_pred, score (the cosine, 0 to 1) and rejected."""
+    marked = _marked(docs, model, text_col, keep, bits, sizes)
+    return marked.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(keep)), "lang_pred", "score", "rejected")
+
+
+def _marked(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...], bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """As ``predict``, the columns under the names __0, __1, ..., so that none clashes."""
     spark = docs.sparkSession
     small_batches(spark)
     # the model goes once to each executor; its size doesn't grow with the corpus
@@ -133,7 +151,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                 rest = [c.slice(s.first, s.rows) for name, c in zip(b.schema.names, b.columns) if name != "__text"]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*[n for n in b.schema.names if n != "__text"], "lang_pred", "score", "rejected"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)), F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
 
@@ -150,5 +168,5 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """The documents whose language is recognised, all columns as they are; those rejected go."""
     model = fit(docs if train is None else train)
-    marked = predict(docs, model, keep=tuple(docs.columns))
-    return marked.where("not rejected").select(*docs.columns)
+    marked = _marked(docs, model, "text", tuple(docs.columns))
+    return marked.where("not rejected").select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)))

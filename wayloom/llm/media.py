@@ -8,7 +8,9 @@ whatever was declared.
 ``as_media`` stores a payload losslessly as 8-bit samples in PNG, BMP, PGM or WAV, ``samples`` reads it back.
 
 Results for odd input: a null or empty blob has no type and carves nothing; signatures inside a valid medium
-belong to it; of two hits at one offset the longer valid one counts; truncated media are not valid.
+belong to it; of two hits at one offset the longer valid one counts; truncated media are not valid; a very long blob is
+walked whole; rows that repeat are sniffed each by itself and alike; an empty table gives no rows; other columns are
+ignored. ``features`` skips nothing: a blob that isn't one whole medium has null for what is read from its samples.
 """
 
 from __future__ import annotations
@@ -291,8 +293,11 @@ def features(table: DataFrame) -> DataFrame:
             rows = []
             for i, n, declared, x in zip(b.column("id"), b.column("n_bytes"), b.column("declared"), b.column("media")):
                 blob = x.as_py()
-                at, size, kind = carve(blob)[0]
-                medium = blob[at : at + size]
+                at, size, kind = next(iter(carve(blob)), (0, 0, None))
+                if at or size != len(blob):  # broken, or something else around it
+                    rows.append((i.as_py(), n.as_py(), None, None, None, len(blob), hashlib.sha256(blob).hexdigest(), "no whole medium", None, declared.as_py(), True))
+                    continue
+                medium = blob
                 data = samples(medium, kind)
                 s = np.frombuffer(data, np.uint8)
                 p = np.bincount(s, minlength=256) / max(1, len(s))
