@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's
 docs. All but the last return the columns of documents; the last returns the pieces of packed sequences.
+
+Results for odd input, at every stage: a null text counts as empty (language identification rejects it, as any text without
+a letter); a null language or source is a value of its own; rows with a null id stay through both dedup stages; rows
+that repeat an id are decided on together where an id is dropped; very long texts are read whole; ties go to the larger
+id (exact copies) or the smaller one (near copies); an empty table gives no rows; columns besides those of documents pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayloom.llm import exact, langid, mixing, ngram_join, pack
-from wayloom.llm.common import stored
+from wayloom.llm.common import drop, keep, scratch, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens, each in the sources' proportions."""
-    return pack.pack(docs)
+    """Sequences of 4096 tokens, each with the sources' tempered shares while they last."""
+    return pack.pack(docs, temper=pack.TEMPER)
 
 
 STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("packing", packing)]
@@ -44,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):  # a stage's tables and its input go once its output is written
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            before = docs
+            with scratch(spark):
+                docs = keep(stored(stage(spark, docs, sf_dir), name))
+            drop(before)
+        return keep(docs)
