@@ -39,7 +39,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where their ids are noted
         self.flat = np.zeros(1 << 16, self.width)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
@@ -60,10 +60,11 @@ class Encoder:
             out[k] = e.ids
         return out
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        first = at = len(self.keys)
         for k in range(0, len(texts), 4096):
-            for h, ids in zip(hashes[k : k + 4096], self._pieces(texts[k : k + 4096])):
-                at, n = len(self.known), len(ids)
+            for ids in self._pieces(texts[k : k + 4096]):
+                n = len(ids)
                 if at == len(self.starts):
                     self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
                 while self.used + n > len(self.flat):
@@ -71,7 +72,9 @@ class Encoder:
                 self.flat[self.used : self.used + n] = ids
                 self.starts[at], self.lengths[at] = self.used, n
                 self.used += n
-                self.known[h] = at
+                at += 1
+        where = np.searchsorted(self.keys, hashes)
+        self.keys, self.places = np.insert(self.keys, where, hashes), np.insert(self.places, where, np.arange(first, at))
 
     def slice_ids(self, s: W.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice, end id included, and their bounds by document."""
@@ -88,14 +91,13 @@ class Encoder:
         ends = np.insert(ends, cut, ends[cut] - 1)
         bounds = np.searchsorted(starts, s.offsets)
         hashes, first, inverse = np.unique(W.range_hash(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > CACHE_WORDS:
+        if len(self.keys) + len(hashes) > CACHE_WORDS:
             self._clear()
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
+        new = np.flatnonzero(~np.isin(hashes, self.keys, assume_unique=True))
+        if len(new):
             text = data.tobytes()
-            self._learn([keys[k] for k in new], [text[starts[first[k]] : ends[first[k]]].decode("utf-8") for k in new])
-        index = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[inverse] if keys else np.zeros(0, np.int64)
+            self._learn(hashes[new], [text[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        index = self.places[np.searchsorted(self.keys, hashes)][inverse]
         lengths = self.lengths[index]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         total = int(sums[-1])
