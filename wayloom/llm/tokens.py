@@ -93,7 +93,8 @@ class Encoder:
         hashes, first, inverse = np.unique(W.range_hash(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(hashes) > CACHE_WORDS:
             self._clear()
-        new = np.flatnonzero(~np.isin(hashes, self.keys, assume_unique=True))
+        at = np.searchsorted(self.keys, hashes)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != hashes) if len(self.keys) else np.arange(len(hashes))
         if len(new):
             text = data.tobytes()
             self._learn(hashes[new], [text[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
