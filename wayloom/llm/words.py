@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once, about.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SLICE_ROWS = 512
 
 _U = np.uint64
