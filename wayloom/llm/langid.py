@@ -78,7 +78,8 @@ def _fitted(train: DataFrame, text_col: str, lang_col: str, per_language: int, c
     hashes = stored(texts.select("lang", "h", F.shiftright("h", 56).alias("byte")).distinct(), "hashes")
     upto = Window.partitionBy("lang").orderBy("byte")
     counts = hashes.groupBy("lang", "byte").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    cuts = counts.where(F.col("before") < per_language).groupBy("lang").agg(F.max("byte").alias("last"))
+    cuts = stored(counts.where(F.col("before") < per_language).groupBy("lang").agg(F.max("byte").alias("last")), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= MAX_BROADCAST_KEYS else cuts
     order = Window.partitionBy("lang").orderBy("h")
     first = hashes.join(cuts, "lang").where("byte <= last").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     first = stored(first.select("lang", "h"), "sampled")

@@ -13,7 +13,8 @@ components with one of themselves. What this links is one component. The rest, p
 multiplied by (column, band of the smaller size): a row stands in its own band as the smaller one and in the
 bands of its possible partners as the larger one, cut at the bound of that band. Rows that share fewer than e such
 columns with rows of other components go before any pair is made: a copy with many words of its own has these
-first, so within its own band it has no column left. So a group of near copies costs about its size, and no link
+first, so within its own band it has no column left. Of the rest the whole sets are looked at: rows that share less than
+t of their n-grams with all others together (they have a passage in common, not the text) go too. So a group of near copies costs about its size, and no link
 between components is lost.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with nothing; rows
@@ -50,11 +51,10 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, classes, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose whole sets' similarity reaches the threshold."""
-    ids = stored(pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).distinct(), "ids")
-    texts = restrict(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), ids, "__id")
-    sets = stored(whole_sets(texts, "__id", "__text", k, classes), "sets")
+def _verified(pairs: DataFrame, whole, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets' similarity reaches the threshold. ``whole``: the sets (id, grams) of given ids."""
+    ids = stored(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
+    sets = stored(whole(ids), "sets")
     left = sets.select(F.col("id").alias("u"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("grams").alias("y"))
     both = pairs.select("u", "v").join(left, "u").join(right, "v")
@@ -86,7 +86,7 @@ def _labelled(lists: DataFrame, part: DataFrame) -> DataFrame:
     return mixed
 
 
-def _cross(lists: DataFrame, percent: int) -> DataFrame:
+def _cross(lists: DataFrame, whole, percent: int) -> DataFrame:
     """(u, v) of different components with enough columns that count."""
     n, i = F.col("n"), F.col("i")
     width = log(100 / percent) / 2
@@ -105,7 +105,15 @@ def _cross(lists: DataFrame, percent: int) -> DataFrame:
     met = stored(rows.join(keys, ["gram", "band"]).where(other).select("gram", "band", "id", "n", "i", "comp", "small", "e"), "met")
     drop(rows, keys)
     enough = met.groupBy("id", "n", "small", "band", "e").agg(F.count("*").alias("c")).where("c >= e").select("id", "n", "small", "band")
-    left = met.join(enough, ["id", "n", "small", "band"])
+    left = stored(met.join(enough, ["id", "n", "small", "band"]), "left")
+    drop(met)
+    # of these few, whole sets: a row that shares less than the threshold of its own with all others together links with none
+    ids = stored(left.groupBy("id").agg(F.min("comp").alias("comp")), "ids")
+    grams = stored(whole(ids.select("id")).join(ids, "id").select("id", "comp", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "grams")
+    both = grams.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
+    close = grams.join(both, "gram").groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent).select("id").distinct()
+    close = stored(close, "close")
+    left = restrict(left, close, "id")
     a = left.where("small").select("gram", "band", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("i").alias("si"), F.col("comp").alias("cs"))
     b = left.where("not small").select("gram", "band", F.col("id").alias("l"), F.col("n").alias("nl"), F.col("i").alias("li"), F.col("comp").alias("cl"))
     ns, nl = F.col("ns"), F.col("nl")
@@ -113,9 +121,7 @@ def _cross(lists: DataFrame, percent: int) -> DataFrame:
         (F.col("cs") != F.col("cl")) & ((ns < nl) | ((ns == nl) & (F.col("s") < F.col("l")))) & _fits(ns, nl, percent) & _counts(ns, F.col("si"), nl, percent) & _counts(nl, F.col("li"), ns, percent)
     )
     pairs = pairs.groupBy("s", "l", "ns", "nl").agg(F.count("*").alias("c")).where(F.col("c") >= shared_least(ns))
-    out = stored(pairs.select(F.least("s", "l").alias("u"), F.greatest("s", "l").alias("v")).distinct(), "cross")
-    drop(met)
-    return out
+    return stored(pairs.select(F.least("s", "l").alias("u"), F.greatest("s", "l").alias("v")).distinct(), "cross")
 
 
 def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -140,16 +146,18 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     counts = stored(counts.select("id", "n", F.floor(F.col("c") * 1000 / F.col("n")).cast("int").alias("central")), "enough")
     few = stored(lists.join(counts, ["id", "n"]).select("gram", "id", "n", "i", "central"), "columns")
     drop(lists, counts)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    whole = lambda ids: whole_sets(restrict(texts, ids, "id"), "id", "text", k, classes)
     lists, part, tested = few, None, None
     for apart in (F.lit(True), F.col("comp") != F.col("low")):
         star = _star(lists.where(apart), percent)
         new = star if tested is None else stored(star.join(tested, ["u", "v"], "left_anti"), "star")
-        part = joined_components(part, _verified(new, docs, k, percent, classes, id_col, text_col))
+        part = joined_components(part, _verified(new, whole, percent))
         tested = new if tested is None else tested.unionByName(new)
         lists = _labelled(lists, part)
-    cross = stored(_cross(lists, percent).join(tested, ["u", "v"], "left_anti"), "cross")
+    cross = stored(_cross(lists, whole, percent).join(tested, ["u", "v"], "left_anti"), "cross")
     if not cross.isEmpty():
-        part = joined_components(part, _verified(cross, docs, k, percent, classes, id_col, text_col))
+        part = joined_components(part, _verified(cross, whole, percent))
     return members, part
 
 
