@@ -72,3 +72,14 @@ def test_geojson(spark):
 def test_framer(spark):
     df = spark.createDataFrame([(1, 0, "41 0"), (1, 1, "D 20\r>NO\0 DA"), (1, 2, "TA>rest")], "s int, n int, x string")
     assert [r["reply"] for r in osm.framed_replies(df, ["s"], "n", "x").orderBy("place").collect()] == ["41 0D 20\r", "NO DATA"]
+
+
+def test_trailing_line_breaks(spark):
+    """A pattern's end is the text's end, not the place before a last line break."""
+    from pyspark.sql import functions as F
+
+    from wayloom.functions import text as T
+
+    rows = spark.createDataFrame([("010D", "ab"), ("010D\n", "ab\n")], "wire string, hash string")
+    got = rows.select(T.allowed_command(F.col("wire")).alias("a"), T.lower_hex(F.col("hash"), 2).alias("h")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False)]

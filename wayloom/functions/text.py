@@ -130,22 +130,22 @@ def allowed_command(wire: Column, manual: bool = False) -> Column:
     """The read-only guard: printable, and a listed command or mode 01 with one to six ids and perhaps a count digit."""
     u = F.upper(wire)
     listed = u.isin(MANUAL_COMMANDS if manual else SESSION_COMMANDS)
-    return wire.rlike(r"^[!-~]+$") & (listed | u.rlike("^01([0-9A-F]{2}){1,6}[1-9]?$"))
+    return wire.rlike(r"^[!-~]+\z") & (listed | u.rlike(r"^01([0-9A-F]{2}){1,6}[1-9]?\z"))
 
 
 def pack_file(name: Column, content_hash: Column) -> Column:
-    ok = name.rlike("^[a-z0-9]([a-z0-9-]*[a-z0-9])?$") & content_hash.rlike("^[0-9a-f]{16}$")
+    ok = name.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z") & content_hash.rlike(r"^[0-9a-f]{16}\z")
     return F.when(ok, F.concat(name, F.lit("-"), content_hash, F.lit(".roadpack")))
 
 
 def pack_file_parts(file: Column) -> Column:
     """struct(name, hash) of a pack's file name, null fields where it is none."""
-    at = lambda k: F.nullif(F.regexp_extract(file, r"^([a-z0-9][a-z0-9-]*)-([0-9a-f]{16})\.roadpack$", k), F.lit(""))
+    at = lambda k: F.nullif(F.regexp_extract(file, r"^([a-z0-9][a-z0-9-]*)-([0-9a-f]{16})\.roadpack\z", k), F.lit(""))
     return F.struct(at(1).alias("name"), at(2).alias("hash"))
 
 
 def lower_hex(c: Column, digits: int) -> Column:
-    return c.rlike(f"^[0-9a-f]{{{digits}}}$")
+    return c.rlike(rf"^[0-9a-f]{{{digits}}}\z")
 
 
 def note(c: Column, most: int) -> Column:
@@ -155,14 +155,14 @@ def note(c: Column, most: int) -> Column:
 
 def content_range(c: Column) -> Column:
     """struct(first, last, total) of ``bytes a-b/n`` (n may be *); nulls where it isn't one or its ends are out of order."""
-    at = lambda k: F.nullif(F.regexp_extract(c, r"^bytes (\d+)-(\d+)/(\d+|\*)$", k), F.lit(""))
+    at = lambda k: F.nullif(F.regexp_extract(c, r"^bytes (\d+)-(\d+)/(\d+|\*)\z", k), F.lit(""))
     first, last, total = (at(k).try_cast("long") for k in (1, 2, 3))
     ok = (first <= last) & (total.isNull() | (last < total))
     return F.struct(F.when(ok, first).alias("first"), F.when(ok, last).alias("last"), F.when(ok, total).alias("total"))
 
 
 def strong_etag(c: Column) -> Column:
-    return c.rlike('^"[^"]*"$')
+    return c.rlike(r'^"[^"]*"\z')
 
 
 def failed_kind(detail: Column) -> Column:
