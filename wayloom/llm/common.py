@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,10 +16,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``. Where it is unset, a
+    temporary one serves if driver and executor are one process (tests); on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="wayloom-")
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
