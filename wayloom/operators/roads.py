@@ -10,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo as G
+from .lineage import cut
+
+#: Grid cells that may be broadcast, counted first (two longs each: at most about 16 MB with their hash table).
+MAX_BROADCAST_CELLS = 400_000
+
+#: Ways whose nodes one task numbers (their counts are summed in one task, so a planet's 10^10 ways are some 10^4 rows there).
+WAY_BLOCK = 1 << 20
 
 
 def without_repeats(way_nodes: DataFrame) -> DataFrame:
@@ -53,13 +60,18 @@ def split_edges(way_nodes: DataFrame) -> DataFrame:
 def numbered_nodes(edges: DataFrame) -> DataFrame:
     """(node_id, number): nodes in the order in which edges (by way and offset) name them, from before to.
 
-    The first mention of each node is a min, and their ranks are made in two steps (way, then place within it)."""
+    The first mention of each node is a min. Ranks are made inside blocks of ways; only the blocks' counts are summed in one
+    task."""
     ends = edges.select("way_id", "offset", F.posexplode(F.array("from_node", "to_node")).alias("end", "node_id"))
     first = ends.groupBy("node_id").agg(F.min(F.struct("way_id", "offset", "end")).alias("at"))
-    per_way = first.groupBy(F.col("at.way_id").alias("way_id")).agg(F.count("*").alias("n"))
-    base = per_way.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("way_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("at.way_id").orderBy("at"))
-    return first.withColumn("r", inside).withColumn("way_id", F.col("at.way_id")).join(base, "way_id").select("node_id", (F.col("base") + F.col("r") - 1).alias("number"))
+    first = first.withColumns({"way_id": F.col("at.way_id"), "block": F.floor(F.col("at.way_id") / WAY_BLOCK)})
+    per_way = first.groupBy("block", "way_id").agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = per_way.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("base"))
+    ways = per_way.withColumn("inside", before(Window.partitionBy("block").orderBy("way_id"))).join(blocks, "block")
+    r = F.row_number().over(Window.partitionBy("way_id").orderBy("at"))
+    ranked = first.select("way_id", "node_id", r.alias("r"))
+    return ranked.join(ways, "way_id").select("node_id", (F.col("base") + F.col("inside") + F.col("r") - 1).alias("number"))
 
 
 def adjacency(edges: DataFrame, edge_id: str = "edge_id") -> DataFrame:
@@ -78,29 +90,51 @@ def segments(way_nodes: DataFrame, lat0: int, lon0: int, k_lat: float, k_lon: fl
 
 
 def grid_index(segs: DataFrame, size: float, radius: float) -> DataFrame:
-    """The segments with each (cx, cy) whose square is within ``radius`` of them."""
+    """The segments with each (cx, cy) that a point within ``radius`` of them may lie in. Columns are listed first and, for each,
+    only the rows that the segment's part in the widened column can reach, so a long segment costs its length, not its box.
+    A few cells at corners are farther than the radius; searches test the exact distance."""
     low = lambda a, b: G.cell(F.least(a, b) - radius, size)
     high = lambda a, b: G.cell(F.greatest(a, b) + radius, size)
-    c = segs.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
-    x0, y0 = F.col("cx") * size, F.col("cy") * size
-    d2 = G.segment_rectangle_d2("ax", "ay", "bx", "by", x0, y0, x0 + size, y0 + size)
-    return c.where(d2 <= radius * radius)
+    ax, ay, bx, by = map(F.col, ("ax", "ay", "bx", "by"))
+    c = segs.withColumn("cx", F.explode(F.sequence(low(ax, bx), high(ax, bx))))
+    x0 = F.col("cx") * size
+    part = lambda x: ay + (by - ay) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - ax) / F.nullif(bx - ax, F.lit(0.0))))
+    ends = lambda x, flat: F.when(ax == bx, flat).otherwise(part(x))
+    y, z = ends(x0 - radius, ay), ends(x0 + size + radius, by)
+    return c.withColumn("cy", F.explode(F.sequence(low(y, z), high(y, z))))
+
+
+def only_occupied(index: DataFrame, cells: DataFrame) -> DataFrame:
+    """The index in the cells of (cx, cy) only: they are counted, and where they are few they cut the index before its shuffle."""
+    cells = cells.select("cx", "cy").distinct()
+    few = cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS
+    return index.join(F.broadcast(cells), ["cx", "cy"], "left_semi") if few else index
 
 
 def candidates(points: DataFrame, index: DataFrame, size: float, radius: float) -> DataFrame:
     """Each point (px, py) with the segments within the radius: one equi-join on the point's cell, then the exact test."""
     p = points.withColumns({"cx": G.cell("px", size), "cy": G.cell("py", size)})
-    j = p.join(index, ["cx", "cy"])
+    j = p.join(only_occupied(index, p), ["cx", "cy"])
     j = j.withColumn("d2", G.project("px", "py", "ax", "ay", "bx", "by")["d2"])
     return j.where(F.col("d2") <= radius * radius).withColumn("distance", F.sqrt("d2")).drop("d2")
 
 
 def nearest_segment(points: DataFrame, index: DataFrame, key: str, size: float, radius: float, extra: Column | None = None) -> DataFrame:
-    """(key, way_id, seg, distance): the nearest allowed segment; equal distances go to the smaller way and segment."""
+    """(key, way_id, seg, distance): the nearest allowed segment; distances equal to the millimetre go to the smaller way and
+    segment."""
     c = candidates(points, index, size, radius)
     if extra is not None:
         c = c.where(extra)
-    return c.groupBy(key).agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "way_id", "seg")).alias("m")).select(key, "m.way_id", "m.seg", "m.distance")
+    return c.groupBy(key).agg(F.min(F.struct(F.round("distance", 3).alias("distance"), "way_id", "seg")).alias("m")).select(key, "m.way_id", "m.seg", "m.distance")
+
+
+def near_any(points: DataFrame, index: DataFrame, size: float, radius: float) -> DataFrame:
+    """The points with a segment within the radius, each once: a semi join by cell with the exact test as its condition."""
+    p = points.withColumns({"cx": G.cell("px", size), "cy": G.cell("py", size)}).alias("p")
+    i = only_occupied(index, p).alias("i")
+    d2 = G.project("p.px", "p.py", "i.ax", "i.ay", "i.bx", "i.by")["d2"]
+    on = (F.col("p.cx") == F.col("i.cx")) & (F.col("p.cy") == F.col("i.cy")) & (d2 <= radius * radius)
+    return p.join(i, on, "left_semi").drop("cx", "cy")
 
 
 def truth_match(scored: DataFrame, key: str, ratio: float = 0.6931471805599453) -> DataFrame:
@@ -112,51 +146,52 @@ def truth_match(scored: DataFrame, key: str, ratio: float = 0.6931471805599453)
 
 
 def within_hops(edges: DataFrame, starts: DataFrame, hops: int, edge_id: str = "edge_id") -> DataFrame:
-    """(start, edge, hops): edges reached from each start edge over shared nodes, in at most ``hops`` steps."""
-    ends = edges.select(edge_id, F.explode(F.array_distinct(F.array("from_node", "to_node"))).alias("node_id"))
-    near = ends.join(ends.withColumnRenamed(edge_id, "other"), "node_id").where(F.col(edge_id) != F.col("other")).select(edge_id, "other").distinct()
+    """(start, edge, hops): edges reached from each start edge over shared nodes, in at most ``hops`` steps. The front goes
+    through the nodes, each once for a start, so edges that no start reaches are never paired."""
+    ends = edges.select(F.col(edge_id).alias("edge"), F.explode(F.array_distinct(F.array("from_node", "to_node"))).alias("node_id"))
     reached = starts.select(F.col(edge_id).alias("start"), F.col(edge_id).alias("edge"), F.lit(0).alias("hops"))
     front = reached
     for k in range(1, hops + 1):
-        front = front.join(near, front["edge"] == near[edge_id]).select("start", F.col("other").alias("edge"), F.lit(k).alias("hops")).distinct()
+        at = front.join(ends, "edge").select("start", "node_id").distinct()
+        front = at.join(ends, "node_id").select("start", "edge", F.lit(k).alias("hops")).distinct()
         reached = reached.unionByName(front)
     return reached.groupBy("start", "edge").agg(F.min("hops").alias("hops"))
 
 
-def merged_nodes(way_nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def merged_nodes(way_nodes: DataFrame) -> DataFrame:
     """(node_id, merged): nodes stacked at one place in neighbouring positions become the smallest id of their group.
 
     Labels spread along the pairs until nothing changes; each round also follows the label's own label, so a chain of
-    n nodes takes about log n rounds."""
+    n nodes takes about log n rounds. Lineage is cut in each."""
     w = Window.partitionBy("way_id").orderBy("pos")
     here = (F.lag("lat_e7").over(w) == F.col("lat_e7")) & (F.lag("lon_e7").over(w) == F.col("lon_e7"))
     pairs = way_nodes.select(F.col("node_id").alias("a"), F.when(here, F.lag("node_id").over(w)).alias("b")).where("b is not null and a <> b").distinct()
-    links = pairs.union(pairs.select("b", "a")).distinct().persist()
+    links = cut(pairs.union(pairs.select("b", "a")).distinct())
     label = links.select(F.col("a").alias("node_id"), F.col("a").alias("merged")).distinct()
-    for _ in range(rounds):
+    while True:
         spread = links.join(label.select(F.col("node_id").alias("b"), "merged"), "b").select(F.col("a").alias("node_id"), "merged").unionByName(label)
         low = spread.groupBy("node_id").agg(F.min("merged").alias("merged"))
         jump = low.select(F.col("node_id").alias("merged"), F.col("merged").alias("far"))
-        new = low.join(jump, "merged", "left").select("node_id", F.coalesce("far", "merged").alias("merged")).persist()
-        done = new.join(label, ["node_id", "merged"], "left_anti").isEmpty()
+        new = cut(low.join(jump, "merged", "left").select("node_id", F.coalesce("far", "merged").alias("merged")))
+        if new.join(label, ["node_id", "merged"], "left_anti").isEmpty():
+            return new
         label = new
-        if done:
-            break
-    return label
-
-
-def in_polygons(points: DataFrame, rings: DataFrame, key: str) -> DataFrame:
-    """Even-odd containment over all rings of an area: (key, area, inside). Rings come as (area, ring, i, x, y); a box
-    that holds all of an area is tested first."""
-    w = Window.partitionBy("area", "ring").orderBy("i")
-    whole = Window.partitionBy("area", "ring")
-    edge = rings.withColumns({"x2": F.coalesce(F.lead("x").over(w), F.first("x").over(whole.orderBy("i"))), "y2": F.coalesce(F.lead("y").over(w), F.first("y").over(whole.orderBy("i")))})
-    box = Window.partitionBy("area")
-    edge = edge.withColumns({"x0": F.min("x").over(box), "x1": F.max("x").over(box), "y0": F.min("y").over(box), "y1": F.max("y").over(box)})
-    j = points.join(edge, F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
+
+
+def in_polygons(points: DataFrame, rings: DataFrame, key: str, size: float) -> DataFrame:
+    """Even-odd containment over all rings of an area: (key, area, inside), a row for each point in an area's box. Rings come
+    as (area, ring, i, x, y). Points meet boxes by grid cell and, of an area's sides, only those in their own row of cells."""
+    ring = Window.partitionBy("area", "ring").orderBy("i")
+    side = rings.withColumns({"x2": F.coalesce(F.lead("x").over(ring), F.first("x").over(ring)), "y2": F.coalesce(F.lead("y").over(ring), F.first("y").over(ring))})
+    rows = F.sequence(G.cell(F.least("y", "y2"), size), G.cell(F.greatest("y", "y2"), size))
+    side = side.select("area", "x", "y", "x2", "y2", F.explode(rows).alias("cy"))
+    box = rings.groupBy("area").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    box = box.withColumn("cx", F.explode(F.sequence(G.cell("x0", size), G.cell("x1", size)))).withColumn("cy", F.explode(F.sequence(G.cell("y0", size), G.cell("y1", size))))
+    p = points.select(key, "px", "py", G.cell("px", size).alias("cx"), G.cell("py", size).alias("cy"))
+    j = p.join(box, ["cx", "cy"]).where("px between x0 and x1 and py between y0 and y1").select(key, "area", "px", "py", "cy").join(side, ["area", "cy"], "left")
     spans = (F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))
-    crosses = spans & (F.col("px") < (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x"))
-    return j.groupBy(key, "area").agg((F.count_if(crosses) % 2 == 1).alias("inside"))
+    crosses = spans & (F.col("px") < (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / F.nullif(F.col("y2") - F.col("y"), F.lit(0.0)) + F.col("x"))
+    return j.groupBy(key, "area").agg((F.count_if(F.coalesce(crosses, F.lit(False))) % 2 == 1).alias("inside"))
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

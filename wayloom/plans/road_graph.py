@@ -1,4 +1,5 @@
-"""Queries of the road graph: ways are orders, nodes are parts on a lattice, so ways share nodes and are split."""
+"""Queries of the road graph, over whole tables: ways are orders and a node is a part from a supplier, placed beside its
+part on a lattice, so some ways share nodes and are split, as roads are."""
 
 from __future__ import annotations
 
@@ -10,19 +11,21 @@ from .base import fixes, nodes, query, table
 _SIZE, _RADIUS = 400.0, 150.0
 _K_LAT, _K_LON = 0.0111, 0.0071
 
-# one row per way and position; ways of one in eight orders keep the graph small enough to check
+# one row per way and position
 _WN = """
-w0 AS (SELECT l_orderkey AS way_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_partkey % 2000 AS node_id FROM lineitem WHERE l_orderkey % 8 = 3),
-w1 AS (SELECT w0.*, n.lat_e7, n.lon_e7 FROM w0 JOIN @node n USING (node_id)),
+w0 AS (SELECT l_orderkey AS way_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_partkey, l_suppkey FROM lineitem),
+w1 AS (SELECT way_id, pos, l_partkey * 10000000 + l_suppkey AS node_id, n.lat_e7 + l_suppkey % 30 * 290 AS lat_e7, n.lon_e7 + l_suppkey // 30 * 410 AS lon_e7 FROM w0 JOIN @node n ON l_partkey = n.node_id),
 w2 AS (SELECT * FROM (SELECT *, lag(node_id) OVER w AS pn, lag(lat_e7) OVER w AS pa, lag(lon_e7) OVER w AS po FROM w1 WINDOW w AS (PARTITION BY way_id ORDER BY pos)) WHERE NOT coalesce(pn = node_id OR (pa = lat_e7 AND po = lon_e7), false)),
 wn AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS pos, node_id, lat_e7, lon_e7 FROM w2)"""
 
 
 def _raw(spark, sf):
     w = Window.partitionBy("way_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf, "lineitem").where("l_orderkey % 8 = 3").withColumn("way_id", F.col("l_orderkey"))
-    wn = li.select("way_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), (F.col("l_partkey") % 2000).alias("node_id"))
-    return wn.join(nodes(spark, sf), "node_id")
+    li = table(spark, sf, "lineitem").withColumn("way_id", F.col("l_orderkey"))
+    wn = li.select("way_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "l_partkey", "l_suppkey")
+    k = F.col("l_suppkey")
+    place = ((F.col("l_partkey") * 10000000 + k).alias("node_id"), (F.col("lat_e7") + k % 30 * 290).alias("lat_e7"), (F.col("lon_e7") + F.floor(k / 30) * 410).alias("lon_e7"))
+    return wn.join(nodes(spark, sf).withColumnRenamed("node_id", "l_partkey"), "l_partkey").select("way_id", "pos", *place)
 
 
 def _nodes(spark, sf):
@@ -60,9 +63,9 @@ def _edges(spark, sf):
     return R.split_edges(_nodes(spark, sf))
 
 
-@query("split_edges", f"WITH {_EDGES} SELECT way_id, offset_, from_node, to_node, points, length_dm // 10 AS length_m FROM edges WHERE length_dm % 10 BETWEEN 1 AND 8")
+@query("split_edges", f"WITH {_EDGES} SELECT way_id, offset_, from_node, to_node, points, length_dm FROM edges")
 def split_edges(spark, sf):
-    return _edges(spark, sf).where("length_dm % 10 between 1 and 8").select("way_id", F.col("offset").alias("offset_"), "from_node", "to_node", "points", F.floor(F.col("length_dm") / 10).alias("length_m"))
+    return _edges(spark, sf).select("way_id", F.col("offset").alias("offset_"), "from_node", "to_node", "points", "length_dm")
 
 
 @query("node_numbering", f"""
@@ -96,13 +99,13 @@ def graph_statistics(spark, sf):
 @query("within_two_hops", f"""
 WITH {_EDGES}, x AS (SELECT way_id * 100 + offset_ AS edge_id, unnest(list_distinct([from_node, to_node])) AS node_id FROM edges),
 near AS (SELECT DISTINCT a.edge_id, b.edge_id AS other FROM x a JOIN x b USING (node_id) WHERE a.edge_id <> b.edge_id),
-h0 AS (SELECT edge_id AS start, edge_id AS edge, 0 AS hops FROM (SELECT DISTINCT edge_id FROM x) WHERE edge_id % 97 = 0),
+h0 AS (SELECT edge_id AS start, edge_id AS edge, 0 AS hops FROM (SELECT DISTINCT edge_id FROM x)),
 h1 AS (SELECT start, other AS edge, 1 AS hops FROM h0 JOIN near ON h0.edge = near.edge_id),
 h2 AS (SELECT start, other AS edge, 2 AS hops FROM h1 JOIN near ON h1.edge = near.edge_id)
 SELECT start, edge, CAST(min(hops) AS INT) AS hops FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY start, edge""")
 def within_two_hops(spark, sf):
     e = _edges(spark, sf).withColumn("edge_id", F.col("way_id") * 100 + F.col("offset"))
-    return R.within_hops(e, e.where("edge_id % 97 = 0"), 2)
+    return R.within_hops(e, e, 2)
 
 
 @query("merged_nodes", """
@@ -120,27 +123,27 @@ def merged_nodes(spark, sf):
 
 
 _SEG = _WN + f""",
-seg AS (SELECT * FROM (SELECT way_id, pos AS seg, (lon_e7 - 300000000) * {_K_LON} AS ax, (lat_e7 - 500000000) * {_K_LAT} AS ay, (lead(lon_e7) OVER w - 300000000) * {_K_LON} AS bx, (lead(lat_e7) OVER w - 500000000) * {_K_LAT} AS by_ FROM wn WHERE way_id % 64 = 3 WINDOW w AS (PARTITION BY way_id ORDER BY pos)) WHERE bx IS NOT NULL),
-pt AS (SELECT line_no, ((lon - 30.0) * 1e7) * {_K_LON} * 4 AS px, ((lat - 50.0) * 1e7) * {_K_LAT} * 2 AS py, course FROM @fix WHERE line_no % 2 = 0),
-t AS (SELECT line_no, px, py, course, way_id, seg, ax, ay, bx, by_, least(1.0, greatest(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t FROM pt, seg),
+seg AS (SELECT * FROM (SELECT way_id, pos AS seg, (lon_e7 - 300000000) * {_K_LON} AS ax, (lat_e7 - 500000000) * {_K_LAT} AS ay, (lead(lon_e7) OVER w - 300000000) * {_K_LON} AS bx, (lead(lat_e7) OVER w - 500000000) * {_K_LAT} AS by_ FROM wn WINDOW w AS (PARTITION BY way_id ORDER BY pos)) WHERE bx IS NOT NULL),
+pt AS (SELECT line_no, ((lon - 30.0) * 1e7) * {_K_LON} * 4 AS px, ((lat - 50.0) * 1e7) * {_K_LAT} * 2 AS py, course FROM @fix ),
+t AS (SELECT line_no, px, py, course, way_id, seg, ax, ay, bx, by_, least(1.0, greatest(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t FROM pt JOIN seg ON px BETWEEN least(ax, bx) - {_RADIUS} AND greatest(ax, bx) + {_RADIUS} AND py BETWEEN least(ay, by_) - {_RADIUS} AND greatest(ay, by_) + {_RADIUS}),
 d AS (SELECT *, sqrt(pow(px - ax - t * (bx - ax), 2) + pow(py - ay - t * (by_ - ay), 2)) AS distance FROM t)"""
 
 
 def _segs(spark, sf):
-    return R.segments(_nodes(spark, sf).where("way_id % 64 = 3"), 500000000, 300000000, _K_LAT, _K_LON)
+    return R.segments(_nodes(spark, sf), 500000000, 300000000, _K_LAT, _K_LON)
 
 
 def _points(spark, sf):
-    f = fixes(spark, sf).where("line_no % 2 = 0")
+    f = fixes(spark, sf)
     return f.select("line_no", (((F.col("lon") - 30.0) * 1e7) * _K_LON * 4).alias("px"), (((F.col("lat") - 50.0) * 1e7) * _K_LAT * 2).alias("py"), "course")
 
 
 @query("nearest_segment", f"""
-WITH {_SEG}, k AS (SELECT *, round(distance, 4) AS r, row_number() OVER (PARTITION BY line_no ORDER BY round(distance, 9), way_id, seg) AS n, lead(distance) OVER (PARTITION BY line_no ORDER BY distance) - distance AS lead_ FROM d WHERE distance <= {_RADIUS})
-SELECT line_no, r AS distance FROM k WHERE n = 1""")
+WITH {_SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY round(distance, 3), way_id, seg) AS n FROM d WHERE distance <= {_RADIUS})
+SELECT line_no, way_id, seg, round(distance, 3) AS distance FROM k WHERE n = 1""")
 def nearest_segment(spark, sf):
     index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    return R.nearest_segment(_points(spark, sf), index, "line_no", _SIZE, _RADIUS).select("line_no", F.round("distance", 4).alias("distance"))
+    return R.nearest_segment(_points(spark, sf), index, "line_no", _SIZE, _RADIUS)
 
 
 @query("candidates_in_radius", f"""
@@ -154,17 +157,18 @@ def candidates_in_radius(spark, sf):
 @query("road_semi_join", f"WITH {_SEG} SELECT DISTINCT line_no FROM d WHERE distance <= 60")
 def road_semi_join(spark, sf):
     index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    return R.candidates(_points(spark, sf), index, _SIZE, 60.0).select("line_no").distinct()
+    return R.near_any(_points(spark, sf), index, _SIZE, 60.0).select("line_no")
 
 
 @query("truth_match", f"""
-WITH {_SEG}, l AS (SELECT line_no, way_id, seg, -0.5 * pow(distance / 20.0, 2) AS log_l FROM d WHERE distance <= {_RADIUS}),
-b AS (SELECT *, first_value(way_id) OVER (PARTITION BY line_no ORDER BY round(log_l, 9) DESC, way_id, seg) AS way FROM l)
-SELECT line_no, any_value(way) AS way_id, round(max(log_l), 5) + 0.0 AS best, round(max(log_l) FILTER (way_id <> way), 5) + 0.0 AS other FROM b GROUP BY line_no""")
+WITH {_SEG}, l AS (SELECT line_no, way_id, seg, round(-0.5 * pow(distance / 20.0, 2), 6) AS log_l FROM d WHERE distance <= {_RADIUS}),
+b AS (SELECT *, first_value(way_id) OVER (PARTITION BY line_no ORDER BY log_l DESC, way_id, seg) AS way FROM l),
+m AS (SELECT line_no, any_value(way) AS way_id, max(log_l) + 0.0 AS best, max(log_l) FILTER (way_id <> way) + 0.0 AS other FROM b GROUP BY line_no)
+SELECT *, CASE WHEN other IS NULL OR best - other >= ln(2.0) THEN 'matched' ELSE 'ambiguous' END AS verdict FROM m""")
 def truth_match(spark, sf):
     index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    c = R.candidates(_points(spark, sf), index, _SIZE, _RADIUS).withColumn("log_l", F.round(-0.5 * F.pow(F.col("distance") / 20.0, 2), 9))
-    return R.truth_match(c, "line_no").select("line_no", "way_id", (F.round("best", 5) + 0.0).alias("best"), (F.round("other", 5) + 0.0).alias("other"))
+    c = R.candidates(_points(spark, sf), index, _SIZE, _RADIUS).withColumn("log_l", F.round(-0.5 * F.pow(F.col("distance") / 20.0, 2), 6) + 0.0)
+    return R.truth_match(c, "line_no").select("line_no", "way_id", "best", "other", "verdict")
 
 
 @query("shadowed_segments", """
@@ -188,4 +192,4 @@ def points_in_polygons(spark, sf):
     rows = [("a", 0, 0, 0.0, 0.0), ("a", 0, 1, 500.0, 50.0), ("a", 0, 2, 420.0, 600.0), ("a", 0, 3, 30.0, 480.0), ("a", 1, 0, 100.0, 100.0), ("a", 1, 1, 250.0, 120.0), ("a", 1, 2, 180.0, 300.0), ("b", 0, 0, 300.0, 20.0), ("b", 0, 1, 900.0, 40.0), ("b", 0, 2, 650.0, 700.0)]
     rings = spark.createDataFrame(rows, "area string, ring int, i int, x double, y double")
     p = events(spark, sf).select("line_no", (F.col("k") * 8.3).alias("px"), (F.col("value") * 2).alias("py"))
-    return R.in_polygons(p, rings, "line_no")
+    return R.in_polygons(p, rings, "line_no", 100.0)
