@@ -83,3 +83,10 @@ def test_trailing_line_breaks(spark):
     rows = spark.createDataFrame([("010D", "ab"), ("010D\n", "ab\n")], "wire string, hash string")
     got = rows.select(T.allowed_command(F.col("wire")).alias("a"), T.lower_hex(F.col("hash"), 2).alias("h")).collect()
     assert [tuple(r) for r in got] == [(True, True), (False, False)]
+
+
+def test_rings_of_many_parts_keep_apart(spark):
+    square = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    doc = json.dumps({"type": "MultiPolygon", "coordinates": [[square] * 1001, [square] * 2]})
+    rings = osm.geojson_rings(spark.createDataFrame([("a", doc)], "area string, value string"))
+    assert rings.select("ring").distinct().count() == 1003

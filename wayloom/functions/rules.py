@@ -117,3 +117,55 @@ def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
     for (a, u), (b, v) in zip(points, points[1:]):
         out = out.when(x <= b, u + (x - a) * (v - u) / (b - a))
     return out.otherwise(F.lit(points[-1][1]))
+
+
+# fixed values: kinds of events that reach the live engine
+TAPPED = ["motion", "location", "obd", "manualFix", "gpsSwitch"]
+
+
+def tapped(kind: Column) -> Column:
+    return F.coalesce(kind.isin(TAPPED), F.lit(False))
+
+
+def stopped(kmh: Column, reply: Column, now: Column, fresh: float = 2.0) -> Column:
+    """Speed 0 from a fresh reply; an old 0 is unknown, not stopped."""
+    return F.coalesce((kmh == 0) & (now - reply <= fresh), F.lit(False))
+
+
+def update_available(installed: Column, offered: Column) -> Column:
+    return F.coalesce(installed != offered, F.lit(False))
+
+
+def needs_refresh(fetched: Column, now: Column, interval: int = 24 * 60 * 60) -> Column:
+    """Never fetched, a day or more ago, or in the future (the clock was set back)."""
+    age = now - fetched
+    return fetched.isNull() | (age < 0) | (age >= interval)
+
+
+def may_start(free: Column, warning: Column) -> Column:
+    return free >= warning
+
+
+def restore_class(awaiting: Column, parked: Column, engine_off: Column, prior: Column, kmh: Column, vetoed: Column, age: Column, zero_for: Column, prior_run: Column, max_age: float, least: float) -> Column:
+    """parked, standingStop or moving. ``awaiting``: no reply yet since a restored prior (of class ``prior``); ``parked``: parked
+    since a zero; ``zero_for``: length of the run of zeros; ``prior_run``: whether that run continues the prior's stop."""
+    still = F.coalesce((kmh == 0) & ~vetoed, F.lit(False))
+    fresh = age <= max_age
+    stands = fresh & (prior_run | (zero_for >= least))
+    return (
+        F.when(awaiting, F.when(~parked, "moving").when(engine_off, "parked").otherwise(prior))
+        .when(~still, "moving").when(engine_off | (~fresh & parked), "parked").when(F.coalesce(stands, F.lit(False)), "standingStop").otherwise("moving")
+    )
+
+
+def refused_flags(given: Column, refused: list[str]) -> Column:
+    """Those of ``given`` that are refused, each once, in the order given."""
+    return F.array_distinct(F.filter(given, lambda x: x.isin(refused)))
+
+
+def missing_of(wanted: Column, present: Column) -> Column:
+    return F.array_except(wanted, present)
+
+
+def strict_superset(new: Column, old: Column) -> Column:
+    return (F.size(F.array_except(old, new)) == 0) & (F.size(F.array_except(new, old)) > 0)

@@ -168,3 +168,30 @@ def strong_etag(c: Column) -> Column:
 def failed_kind(detail: Column) -> Column:
     """The kind named by an encoding failure's detail."""
     return F.nullif(F.regexp_extract(detail, "^encodingFailed ([^:]*)", 1), F.lit(""))
+
+
+# fixed values: suffixes of recordings and their sidecars, names of unfinished downloads
+RECORDING_SUFFIX, SIDECAR_SUFFIX, DOWNLOAD_PREFIX = ".jsonl.gz", ".nav.jsonl", ".download-"
+
+
+def sidecar_name(recording: Column) -> Column:
+    base = F.when(recording.endswith(RECORDING_SUFFIX), F.substr(recording, F.lit(1), F.length(recording) - len(RECORDING_SUFFIX))).otherwise(recording)
+    return F.concat(base, F.lit(SIDECAR_SUFFIX))
+
+
+def is_sidecar(name: Column) -> Column:
+    return name.endswith(SIDECAR_SUFFIX)
+
+
+def download_file(name: Column, content_hash: Column, extension: str) -> Column:
+    """Name of an unfinished download (``part``) or of its metadata (``json``); null for a bad name or hash."""
+    file = F.regexp_replace(pack_file(name, content_hash), r"\.roadpack\z", "." + extension)
+    return F.concat(F.lit(DOWNLOAD_PREFIX), file)
+
+
+def title(uk: Column, en: Column, name: Column, language: Column) -> Column:
+    """The title in the preferred language, else the other, else the name; blank titles don't count."""
+    first = F.lower(F.coalesce(language, F.lit("")))
+    given = lambda c: F.when(F.btrim(c, F.lit(" \t\r\n")) != "", c)
+    wants = (first == "uk") | first.startswith("uk-") | first.startswith("uk_")
+    return F.when(wants, F.coalesce(given(uk), given(en), name)).otherwise(F.coalesce(given(en), given(uk), name))

@@ -197,3 +197,16 @@ def in_polygons(points: DataFrame, rings: DataFrame, key: str, size: float) -> D
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key: segments of several packs, where the earlier pack hides the later."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def polylines(edges: DataFrame, way_nodes: DataFrame, wanted: Column) -> DataFrame:
+    """(way_id, offset, edges, nodes): the wanted edges of a way that follow each other, joined; an edge left out ends a line.
+    A line is gathered within its way."""
+    w = Window.partitionBy("way_id").orderBy("offset")
+    e = edges.where(wanted).withColumn("end", F.col("offset") + F.col("points") - 1)
+    starts = F.coalesce(F.lag("end").over(w) != F.col("offset"), F.lit(True)).cast("int")
+    e = e.withColumn("starts", starts).withColumn("line", F.sum("starts").over(w))
+    lines = e.groupBy("way_id", "line").agg(F.min("offset").alias("offset"), F.max("end").alias("end"), F.count("*").alias("edges"))
+    n = lines.join(way_nodes.select("way_id", "pos", "node_id"), "way_id").where(F.col("pos").between(F.col("offset"), F.col("end")))
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x.node_id)
+    return n.groupBy("way_id", "offset", "edges").agg(nodes.alias("nodes"))

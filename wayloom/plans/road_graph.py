@@ -108,6 +108,16 @@ def within_two_hops(spark, sf):
     return R.within_hops(e, e, 2)
 
 
+@query("polylines", f"""
+WITH {_EDGES}, r AS (SELECT *, coalesce(lag(offset_ + points - 1) OVER (PARTITION BY way_id ORDER BY offset_) <> offset_, true)::INT AS starts FROM edges WHERE length_dm > 10000),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY way_id ORDER BY offset_) AS line FROM r),
+l AS (SELECT way_id, line, min(offset_) AS a, max(offset_ + points - 1) AS z, count(*) AS n FROM g GROUP BY way_id, line)
+SELECT l.way_id, a AS offset_, n AS edges, string_agg(node_id, ',' ORDER BY pos) AS nodes FROM l JOIN wn ON wn.way_id = l.way_id AND pos BETWEEN a AND z GROUP BY l.way_id, a, n""")
+def polylines(spark, sf):
+    lines = R.polylines(_edges(spark, sf), _nodes(spark, sf), F.col("length_dm") > 10000)
+    return lines.select("way_id", F.col("offset").alias("offset_"), "edges", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"))
+
+
 @query("merged_nodes", """
 WITH RECURSIVE s AS (SELECT o_custkey AS way_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 4001 AS node_id, o_orderkey % 4001 // 40 AS spot FROM orders),
 p AS (SELECT DISTINCT node_id AS a, lag(node_id) OVER w AS b, lag(spot) OVER w = spot AS same FROM s WINDOW w AS (PARTITION BY way_id ORDER BY pos)),

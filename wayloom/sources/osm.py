@@ -14,7 +14,7 @@ def unescaped(c: Column) -> Column:
 
 def e7(c: Column) -> Column:
     """Degrees in text as whole 1e-7 degrees, without floating point; null with more than seven decimals."""
-    ok = c.rlike(r"^-?\d{1,3}(\.\d{1,7})?$")
+    ok = c.rlike(r"^-?\d{1,3}(\.\d{1,7})?\z")
     return F.when(ok, F.round(c.try_cast("decimal(12,7)") * F.lit(10000000)).cast("long"))
 
 
@@ -43,7 +43,7 @@ def read_opl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson_rings(docs: DataFrame, value: str = "value") -> DataFrame:
-    """(area, ring, i, x, y) of polygons, multipolygons, features and collections; the closing point is dropped and rings of
+    """(area, ring, i, x, y) of polygons, multipolygons, features and collections; a ring is named by its part, polygon and place. The closing point is dropped and rings of
     fewer than three points are left out. ``docs`` has one GeoJSON text a row, with an ``area`` name."""
     ring = "array<array<array<double>>>"
     geometry = "struct<type:string,coordinates:string>"
@@ -54,7 +54,7 @@ def geojson_rings(docs: DataFrame, value: str = "value") -> DataFrame:
     x = x.select("area", "part", F.posexplode(polygons).alias("poly", "rings")).select("area", "part", "poly", F.posexplode("rings").alias("r", "points"))
     closed = F.element_at("points", 1) == F.element_at("points", -1)
     x = x.withColumn("points", F.when(closed, F.slice("points", F.lit(1), F.size("points") - 1)).otherwise(F.col("points"))).where(F.size("points") >= 3)
-    x = x.withColumn("ring", F.col("part") * 1000000 + F.col("poly") * 1000 + F.col("r"))
+    x = x.withColumn("ring", F.struct("part", "poly", "r"))
     return x.select("area", "ring", F.posexplode("points").alias("i", "p")).select("area", "ring", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
