@@ -14,8 +14,9 @@ multiplied by (column, band of the smaller size): a row stands in its own band a
 bands of its possible partners as the larger one, cut at the bound of that band. Rows that share fewer than e such
 columns with rows of other components go before any pair is made: a copy with many words of its own has these
 first, so within its own band it has no column left. Of the rest the whole sets are looked at: rows that share less than
-t of their n-grams with all others together (they have a passage in common, not the text) go too. So a group of near copies costs about its size, and no link
-between components is lost.
+t of their n-grams with all others together (they have a passage in common, not the text) go too, then those that share less than a
+partner of their band asks for with all its rows of other components together, again as long as this takes many. So a group
+of near copies costs about its size, and no link between components is lost.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with nothing; rows
 with a null id link with nothing and have a null component; rows that repeat an id are one node of the graph,
@@ -113,7 +114,22 @@ def _cross(lists: DataFrame, whole, percent: int) -> DataFrame:
     both = grams.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
     close = grams.join(both, "gram").groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent).select("id").distinct()
     close = stored(close, "close")
-    left = restrict(left, close, "id")
+    left = stored(restrict(left, close, "id"), "left")
+    grams = restrict(grams.select("id", "n", "gram"), close, "id")
+    # the same by role and band, with the overlap that partners of the band ask for; again while this takes a twentieth of the roles
+    needed = F.when(F.col("small"), _least_overlap(n, n, percent)).otherwise(_least_overlap(n, low, percent))
+    roles = stored(left.select("id", "n", "comp", "small", "band").distinct(), "roles")
+    count = roles.count()
+    while count:
+        entries = grams.join(roles, ["id", "n"])
+        keys = entries.groupBy("gram", "band").agg(side(F.min, "comp", True).alias("s0"), side(F.max, "comp", True).alias("s1"), side(F.min, "comp", False).alias("l0"), side(F.max, "comp", False).alias("l1"))
+        met = entries.join(keys, ["gram", "band"]).where(other).groupBy("id", "n", "comp", "small", "band").agg(F.count("*").alias("c"))
+        fewer = stored(met.where(F.col("c") >= needed).drop("c"), "roles")
+        drop(roles)
+        roles, before, count = fewer, count, fewer.count()
+        if count * 20 > before * 19:
+            break
+    left = stored(left.join(roles.select("id", "n", "small", "band"), ["id", "n", "small", "band"], "left_semi"), "reachable")
     a = left.where("small").select("gram", "band", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("i").alias("si"), F.col("comp").alias("cs"))
     b = left.where("not small").select("gram", "band", F.col("id").alias("l"), F.col("n").alias("nl"), F.col("i").alias("li"), F.col("comp").alias("cl"))
     ns, nl = F.col("ns"), F.col("nl")
