@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .common import MAX_BROADCAST_KEYS, drop, scratch, small_batches, stored
+from .common import MAX_BROADCAST_KEYS, drop, scratch, small_batches, stored, tidy
 from .grams import gram_counts, idf, log_tf, unit
 
 PER_LANGUAGE = 800
@@ -154,7 +154,7 @@ def _marked(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...],
 
     rows = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)), F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import MAX_BROADCAST_KEYS, keep, scratch, small_batches, stored
+from .common import MAX_BROADCAST_KEYS, keep, scratch, small_batches, stored, tidy
 from .tokens import Encoder
 
 LENGTH = 4096
@@ -131,7 +131,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
-    return rows.mapInArrow(encode, "doc_id long, source string, block long, before long, n long, ids binary")
+    return rows.mapInArrow(tidy(encode), "doc_id long, source string, block long, before long, n long, ids binary")
 
 
 def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = 2, temper: float | None = None) -> DataFrame:
@@ -207,7 +207,7 @@ def _packed(docs: DataFrame, length: int, targets: dict[str, float] | None, id_c
     keep(tokens)
     keep(bases)
     joined = tokens.join(F.broadcast(bases) if small else bases, ["source", "block"])
-    return joined.select("doc_id", "source", "base", "before", "n", "ids", "x", "low", "high").mapInArrow(cut, PIECES)
+    return joined.select("doc_id", "source", "base", "before", "n", "ids", "x", "low", "high").mapInArrow(tidy(cut), PIECES)
 
 
 def op6_mixture_packing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import small_batches, stored
+from .common import small_batches, stored, tidy
 
 BITS = 20
 BLOCKS = 64
@@ -58,7 +58,7 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int) -> Broadcast:
     small_batches(spark)
     sums = docs.select(F.col(text_col).alias("text"))
     tasks = sums.rdd.getNumPartitions()
-    sums = sums.mapInArrow(count, schema)
+    sums = sums.mapInArrow(tidy(count), schema)
     while True:  # 32 tasks' blocks are added at a time, so no group grows with the corpus
         sums = sums.withColumn("task", F.floor(F.col("task") / 32).cast("int")).groupBy("block", "task").applyInArrow(add, schema)
         tasks = -(-tasks // 32)
@@ -100,7 +100,7 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, classes: Bro
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(s.first, s.rows), long_lists(grams, bounds)], ["id", "grams"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, grams array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, grams array<long>")
 
 
 def incidence(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, classes: Broadcast) -> DataFrame:
@@ -122,4 +122,4 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.first, s.rows), pa.array(n.astype(np.int64)), *sums, long_lists(grams[at], np.concatenate([[0], ends]))], ["id", "n", "a", "b", "grams"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, a long, b long, grams array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, n long, a long, b long, grams array<long>")
