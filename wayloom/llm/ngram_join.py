@@ -15,8 +15,8 @@ bands of its possible partners as the larger one, cut at the bound of that band.
 columns with rows of other components go before any pair is made: a copy with many words of its own has these
 first, so within its own band it has no column left. Of the rest the whole sets are looked at: rows that share less than
 t of their n-grams with all others together (they have a passage in common, not the text) go too, then those that share less than a
-partner of their band asks for with all its rows of other components together, again as long as this takes many. So a group
-of near copies costs about its size, and no link between components is lost.
+partner of their band asks for with all its rows of other components together, again as long as this takes many. A group
+of near copies of one row costs about its size; what these bounds leave in a column costs its square. No link between components is lost.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with nothing; rows
 with a null id link with nothing and have a null component; rows that repeat an id are one node of the graph,
