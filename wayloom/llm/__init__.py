@@ -1 +1 @@
-"""Training-data operators (numbered 1-10); nothing outside this subpackage imports it."""
+"""Training-data operators (numbered 1-13); nothing outside this subpackage imports it."""

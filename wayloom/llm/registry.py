@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, media, mixing, ngram_join, pack, passages, warc
+from . import chat, exact, knn, langid, media, merkle, mixing, ngram_join, pack, passages, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_reply_trees": chat.op8_reply_trees,
         "op9_quality_knn": knn.op9_quality,
         "op10_language_id": langid.op10_language_id,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op3_mix_to_targets": mixing.mix_sql(), "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL}
+    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op3_mix_to_targets": mixing.mix_sql(), "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL, "op11_merkle_manifest": merkle.op11_sql()}
