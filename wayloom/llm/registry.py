@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, knn, langid, media, merkle, mixing, ngram_join, pack, passages, warc
+from . import chat, exact, infill, knn, langid, media, merkle, mixing, ngram_join, pack, passages, urls, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -20,8 +20,10 @@ def queries() -> dict[str, Callable]:
         "op9_quality_knn": knn.op9_quality,
         "op10_language_id": langid.op10_language_id,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_url_filter": urls.op13_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op3_mix_to_targets": mixing.mix_sql(), "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL, "op11_merkle_manifest": merkle.op11_sql()}
+    return {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op3_mix_to_targets": mixing.mix_sql(), "op5_exact_dedup": exact.OP5_SQL, "op8_reply_trees": chat.OP8_SQL, "op11_merkle_manifest": merkle.op11_sql(), "op12_fill_in_middle": infill.OP12_SQL}
