@@ -121,8 +121,9 @@ def pid_walk(digits: Column, requested: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(requested))), start, step)
 
 
-# fixed values: commands a session may send (without request headers) and a person may send
-SESSION_COMMANDS = ["ATZ", "ATI", "AT@1", "ATE0", "ATE1", "ATL0", "ATL1", "ATS0", "ATS1", "ATH0", "ATH1", "ATSP0", "ATDP", "ATDPN", "ATRV", "ATAT0", "ATAT1", "ATAT2"]
+# fixed values: commands a session may send (the last ones set the request header) and a person may send
+SESSION_COMMANDS = ["ATZ", "ATI", "AT@1", "ATE0", "ATE1", "ATL0", "ATL1", "ATS0", "ATS1", "ATH0", "ATH1", "ATSP0", "ATDP", "ATDPN", "ATRV", "ATAT0", "ATAT1", "ATAT2",
+    "ATSH7DF", "ATSH7E0", "ATSH7E1", "ATSH7E2", "ATSH7E3", "ATSH7E4", "ATSH7E5", "ATSH7E6", "ATSH7E7"]
 MANUAL_COMMANDS = ["ATI", "AT@1", "ATDP", "ATDPN", "ATRV"]
 
 
@@ -190,8 +191,8 @@ def download_file(name: Column, content_hash: Column, extension: str) -> Column:
 
 
 def title(uk: Column, en: Column, name: Column, language: Column) -> Column:
-    """The title in the preferred language, else the other, else the name; blank titles don't count."""
+    """The title in the preferred language, else the other, else the name; titles of white space (of any script) don't count."""
     first = F.lower(F.coalesce(language, F.lit("")))
-    given = lambda c: F.when(F.btrim(c, F.lit(" \t\r\n")) != "", c)
+    given = lambda c: F.when(c.rlike(r"[^\s\p{Z}\x85]"), c)
     wants = (first == "uk") | first.startswith("uk-") | first.startswith("uk_")
     return F.when(wants, F.coalesce(given(uk), given(en), name)).otherwise(F.coalesce(given(en), given(uk), name))
