@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, as the session names one in ``spark.checkpoint.dir``; where that is unset, a
+    temporary one serves if they are one process, else it is an error."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(where or 'file://' + tempfile.mkdtemp(prefix='wayloom-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL
 
-for _name in ("profiling", "aligning", "sequences", "scalars", "road_graph", "evaluation", "rule_tables", "replies", "stateful"):
+for _name in ("profiling", "aligning", "sequences", "scalars", "road_graph", "evaluation", "rule_tables", "replies", "recordings", "stateful"):
     import_module(f"{__name__}.{_name}")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 VERSION = 5
 EVENTS = "file string, line_no bigint, t bigint, kind string, data string, raw string"
 REPORT = "file string, members int, truncated_tail boolean, damaged_members array<int>, skipped_lines array<bigint>, failure string"
+TAIL = "file string, last_t bigint, members int, size bigint, bytes_read bigint"
 
 
 class Member(NamedTuple):
@@ -39,6 +40,17 @@ def member(payload: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(payload), len(payload) & 0xFFFFFFFF)
 
 
+def deflate_length(extra: bytes) -> int | None:
+    """The compressed length that an extra field holds."""
+    length, at = None, 0
+    while at + 4 <= len(extra):
+        n = struct.unpack_from("<H", extra, at + 2)[0]
+        if extra[at : at + 2] == b"DL" and n == 4 and at + 8 <= len(extra):
+            length = struct.unpack_from("<I", extra, at + 4)[0]
+        at += 4 + n
+    return length
+
+
 def members(read) -> Iterator[Member]:
     """Members of a stream; ``read(n)`` returns up to n bytes."""
     while head := read(12):
@@ -47,13 +59,7 @@ def members(read) -> Iterator[Member]:
             return
         if head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
             raise ValueError("a gzip file without member lengths")
-        extra = read(struct.unpack_from("<H", head, 10)[0])
-        length, at = None, 0
-        while at + 4 <= len(extra):
-            n = struct.unpack_from("<H", extra, at + 2)[0]
-            if extra[at : at + 2] == b"DL" and n == 4 and at + 8 <= len(extra):
-                length = struct.unpack_from("<I", extra, at + 4)[0]
-            at += 4 + n
+        length = deflate_length(read(struct.unpack_from("<H", head, 10)[0]))
         if length is None:
             raise ValueError("a gzip file without member lengths")
         body = read(length + 8)
@@ -147,6 +153,67 @@ def read_file(path: str, strict: bool) -> tuple[Iterator[tuple], dict]:
     return rows(), report
 
 
+def _last_t(lines: list[bytes]) -> int | None:
+    for raw in reversed(lines):
+        try:
+            x = json.loads(raw)
+            if isinstance(x["t"], int) and not isinstance(x["t"], bool) and isinstance(x["kind"], str):
+                return x["t"]
+        except (KeyError, TypeError, ValueError):
+            continue
+    return None
+
+
+def read_tail(path: str) -> tuple:
+    """A row of TAIL. Of a file of members only their heads and the last one are read (the ones before it, if that holds no
+    event or is damaged); of a plain file, its end. Events are whole lines of one member, as they are written."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_file(at) as f:
+        size, used = f.size(), 0
+
+        def read(start: int, n: int) -> bytes:
+            nonlocal used
+            f.seek(start)
+            out = f.read(min(n, size - start))
+            used += len(out)
+            return out
+
+        found: list[tuple[int, int]] = []  # where a whole member's data begins, and its length
+        if read(0, 2) == b"\x1f\x8b":
+            offset = 0
+            while offset + 12 <= size:
+                head = read(offset, 20)  # extra fields of other tools may be longer
+                more = struct.unpack_from("<H", head, 10)[0]
+                length = deflate_length(head[12 : 12 + more] if more <= 8 else read(offset + 12, more)) if head[:3] == b"\x1f\x8b\x08" and head[3] & 4 else None
+                if length is None or offset + 12 + more + length + 8 > size:
+                    break
+                found.append((offset + 12 + more, length))
+                offset += 12 + more + length + 8
+            for k in reversed(range(len(found))):
+                body = read(found[k][0], found[k][1] + 8)
+                try:
+                    payload = zlib.decompress(body[:-8], -15)
+                except zlib.error:
+                    continue
+                if struct.unpack("<II", body[-8:]) != (zlib.crc32(payload), len(payload) & 0xFFFFFFFF):
+                    continue
+                last = _last_t([x for x in payload.split(b"\n") if x.strip()][k == 0 :])  # the first line is the header
+                if last is not None:
+                    return path, last, len(found), size, used
+            return path, None, len(found), size, used
+        block, start, held = 1 << 16, size, b""
+        while start > 0:
+            n = min(block, start)
+            start, block = start - n, 2 * block
+            held = read(start, n) + held
+            last = _last_t([x for x in held.split(b"\n") if x.strip()][1:])  # a part of a line, or the header
+            if last is not None:
+                return path, last, 0, size, used
+        return path, None, 0, size, used
+
+
 class _Partition(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -164,6 +231,9 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Partition) -> Iterator[tuple]:
         strict = self.options.get("recovery") == "strict"
         for p in partition.paths:
+            if self.options.get("mode") == "tail":
+                yield read_tail(p)
+                continue
             rows, report = read_file(p, strict)
             if self.options.get("mode") == "report":
                 for _ in rows:
@@ -174,14 +244,14 @@ class _Reader(DataSourceReader):
 
 
 class RecordingSource(DataSource):
-    """The ``recording`` format: options paths (one a line), recovery, mode (events or report)."""
+    """The ``recording`` format: options paths (one a line), recovery, mode (events, report or tail)."""
 
     @classmethod
     def name(cls) -> str:
         return "recording"
 
     def schema(self) -> str:
-        return REPORT if self.options.get("mode") == "report" else EVENTS
+        return {"report": REPORT, "tail": TAIL}.get(self.options.get("mode"), EVENTS)
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -202,6 +272,20 @@ def read_report(spark: SparkSession, paths: list[str], recovery: str = "skip") -
     return _read(spark, paths, "report", recovery)
 
 
+def tails(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per file: the time of its last event, its whole members, its size and how many bytes were read for that."""
+    return _read(spark, paths, "tail", "skip")
+
+
+def tails_of(batches: Iterator) -> Iterator:
+    """For ``mapInArrow`` over files (file, session, events): (session, events, last_t, bytes_read), for more files than a list of paths should name."""
+    import pyarrow as pa
+
+    for b in batches:
+        rows = [read_tail(p) for p in b.column("file").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("session"), b.column("events"), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], ["session", "events", "last_t", "bytes_read"])
+
+
 def catalogue(events: DataFrame) -> DataFrame:
     """Header fields, first and last time of each file, the newest start first."""
     h = F.col("line_no") == 0
