@@ -226,3 +226,37 @@ def test_hosts_with_seeds_are_blocked(spark):
     for r in out:
         name = r["host"].split(".")[-3]
         assert (r["verdict"] == "block") == bool(set(re.split("-", name)) & set(urls.SEEDS)), r
+
+
+def test_scopes_and_release(spark):
+    import os
+    import threading
+
+    from wayloom.llm.common import keep, release, scratch, shared_dir, stored
+
+    root = shared_dir(spark).removeprefix("file://") + "/wayloom"
+    there = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    before = there()
+    with scratch(spark):
+        with scratch(spark):  # both have stored nothing yet
+            pass
+        outer = keep(stored(spark.range(5), "outer"))
+        with scratch(spark):
+            stored(spark.range(3), "inner")
+            handed = keep(stored(spark.range(4), "handed"))
+        assert handed.count() == 4 and len(there() - before) == 2
+    assert outer.count() == 5 and len(there() - before) == 1
+    release(outer)
+    assert there() == before
+
+    def other():
+        with scratch(spark):
+            stored(spark.range(2), "other")
+
+    with scratch(spark):
+        mine = stored(spark.range(7), "mine")
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+        assert mine.count() == 7
+    assert there() == before

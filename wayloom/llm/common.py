@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,47 +33,64 @@ def table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wayloom/{uuid.uuid4().hex}/{label}"
 
 
-#: The open scopes, innermost last: the tables that each has written, by path, with the DataFrames that read them.
-_scopes: list[dict[str, DataFrame | None]] = []
+#: The open scopes of this thread, innermost last: the tables that each has written, by path, with the DataFrames that read them.
+_scopes: ContextVar[tuple[dict[str, DataFrame | None], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are removed at the end, but for those named to ``keep``: these go to the scope around it, or stay
-    where there is none. What leaves the scope may read kept tables only."""
+    where there is none, until ``release``. What leaves the scope may read kept tables only. Threads have scopes of their own."""
     own: dict[str, DataFrame | None] = {}
-    _scopes.append(own)
+    around = _scopes.get()
+    _scopes.set((*around, own))
     try:
         yield
     finally:
-        _scopes.remove(own)
+        _scopes.set(around)
         for path in own:
             remove(spark, path)
 
 
+def _innermost() -> dict[str, DataFrame | None]:
+    return (_scopes.get() or ({},))[-1]
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Hands a stored table of the innermost scope to the scope around it."""
-    for path, one in list(_scopes[-1].items()) if _scopes else []:
+    scopes, own = _scopes.get(), _innermost()
+    for path, one in list(own.items()):
         if one is df:
-            del _scopes[-1][path]
-            if len(_scopes) > 1:
-                _scopes[-2][path] = df
+            del own[path]
+            if len(scopes) > 1:
+                scopes[-2][path] = df
     return df
 
 
+def release(df: DataFrame) -> None:
+    """Removes the kept tables that a result reads, once it isn't needed any more."""
+    spark = df.sparkSession
+    here = f"{shared_dir(spark)}/wayloom/".split("://")[-1].replace("//", "/")
+    for name in df.inputFiles():
+        at = name.split("://")[-1]
+        if here in at:
+            table = at.split(here, 1)[1].split("/")
+            remove(spark, f"{shared_dir(spark)}/wayloom/{table[0]}/{table[1]}")
+
+
 def owned(path: str) -> str:
     """A folder (of files that tasks write themselves) that ends with the innermost scope."""
-    if _scopes:
-        _scopes[-1][path] = None
+    _innermost()[path] = None
     return path
 
 
 def drop(*tables: DataFrame) -> None:
     """Removes stored tables of the innermost scope whose consumers are written."""
+    own = _innermost()
     for df in tables:
-        for path, one in list(_scopes[-1].items()) if _scopes else []:
+        for path, one in list(own.items()):
             if one is df:
-                del _scopes[-1][path]
+                del own[path]
                 remove(df.sparkSession, path)
 
 
@@ -84,12 +102,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives executors."""
     path = table_path(df.sparkSession, label)
-    if _scopes:
-        _scopes[-1][path] = None
+    _innermost()[path] = None
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _scopes:
-        _scopes[-1][path] = out
+    _innermost()[path] = out
     return out
 
 

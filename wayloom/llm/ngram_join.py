@@ -15,8 +15,10 @@ bands of its possible partners as the larger one, cut at the bound of that band.
 columns with rows of other components go before any pair is made: a copy with many words of its own has these
 first, so within its own band it has no column left. Of the rest the whole sets are looked at: rows that share less than
 t of their n-grams with all others together (they have a passage in common, not the text) go too, then those that share less than a
-partner of their band asks for with all its rows of other components together, again as long as this takes many. A group
-of near copies of one row costs about its size; what these bounds leave in a column costs its square. No link between components is lost.
+partner of their band asks for with all its rows of other components together, again as long as this takes many. What is left of a
+column is still compared with itself, but a pair that shares one of its first columns comes out once, where it first meets, and not once a column.
+A group of near copies of one row costs about its size; what these bounds leave in a column costs its square in comparisons.
+No link between components is lost.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with nothing; rows
 with a null id link with nothing and have a null component; rows that repeat an id are one node of the graph,
@@ -34,6 +36,10 @@ from .common import drop, joined_components, keep, restrict, scratch, stored
 from .shingles import EXTRA, frequency_classes, incidence, whole_sets
 
 
+#: First columns of a row that tell where a pair is made.
+FIRST = 12
+
+
 def shared_least(n: Column) -> Column:
     """Prefix columns that a link of two sets shares at least, ``n`` being the smaller size."""
     return 1 + F.floor(n / EXTRA)
@@ -130,13 +136,20 @@ def _cross(lists: DataFrame, whole, percent: int) -> DataFrame:
         if count * 20 > before * 19:
             break
     left = stored(left.join(roles.select("id", "n", "small", "band"), ["id", "n", "small", "band"], "left_semi"), "reachable")
-    a = left.where("small").select("gram", "band", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("i").alias("si"), F.col("comp").alias("cs"))
-    b = left.where("not small").select("gram", "band", F.col("id").alias("l"), F.col("n").alias("nl"), F.col("i").alias("li"), F.col("comp").alias("cl"))
-    ns, nl = F.col("ns"), F.col("nl")
-    pairs = a.join(b, ["gram", "band"]).where(
-        (F.col("cs") != F.col("cl")) & ((ns < nl) | ((ns == nl) & (F.col("s") < F.col("l")))) & _fits(ns, nl, percent) & _counts(ns, F.col("si"), nl, percent) & _counts(nl, F.col("li"), ns, percent)
+    # a pair that shares one of its first columns is made at the first it shares (of these the lowest places, so all that count
+    # come after it), and tested on the whole sets; only one that shares none of them is made once a column and counted
+    role = ["id", "n", "small", "band"]
+    first = left.groupBy(*role).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "gram"))), lambda x: x.gram), 1, FIRST).alias("first"))
+    left = stored(left.join(first, role), "reachable")
+    a = left.where("small").select("gram", "band", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("i").alias("si"), F.col("comp").alias("cs"), F.col("first").alias("fs"))
+    b = left.where("not small").select("gram", "band", F.col("id").alias("l"), F.col("n").alias("nl"), F.col("i").alias("li"), F.col("comp").alias("cl"), F.col("first").alias("fl"))
+    ns, nl, early = F.col("ns"), F.col("nl"), F.arrays_overlap("fs", "fl")
+    on = (
+        (a["gram"] == b["gram"]) & (a["band"] == b["band"]) & (F.col("cs") != F.col("cl")) & ((ns < nl) | ((ns == nl) & (F.col("s") < F.col("l")))) & _fits(ns, nl, percent)
+        & _counts(ns, F.col("si"), nl, percent) & _counts(nl, F.col("li"), ns, percent) & (~early | (F.get(F.array_intersect("fs", "fl"), F.lit(0)) == a["gram"]))
     )
-    pairs = pairs.groupBy("s", "l", "ns", "nl").agg(F.count("*").alias("c")).where(F.col("c") >= shared_least(ns))
+    pairs = a.join(b, on).select("s", "l", "ns", "nl", early.alias("early"))
+    pairs = pairs.groupBy("s", "l", "ns", "nl").agg(F.count("*").alias("c"), F.max("early").alias("early")).where(F.col("early") | (F.col("c") >= shared_least(ns)))
     return stored(pairs.select(F.least("s", "l").alias("u"), F.greatest("s", "l").alias("v")).distinct(), "cross")
 
 
