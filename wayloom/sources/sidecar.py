@@ -4,7 +4,7 @@ A sidecar's lines are rows (file, n, value), n from 1. The first line is a heade
 and lines of other kinds are kept apart. Only the last line may be cut short. ``roads`` lines after the first one
 (version 3 on) name a strict superset of the packs before, at no earlier place. The first line against the rules refuses the file.
 
-Results for odd input: an empty file lacks its header; numbers may be the strings inf, -inf and nan; whole numbers may have a
+Results for odd input: a file of one empty line lacks its header; numbers may be the strings inf, -inf and nan; whole numbers may have a
 fraction of zero; an optional field may be null; fields that a kind doesn't have are ignored; text that isn't JSON, or isn't an object with a
 string ``kind``, is a bad line; a line number that comes twice is two lines.
 """
@@ -84,8 +84,8 @@ def fits(v: Column, fields: dict[str, str]) -> Column:
 
 
 def file_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file, n, value) of text files, each read whole; an empty file gives one row with a null line."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    """(file, n, value) of text files, each read whole. A file without any byte has no row, as Spark passes over it."""
+    text = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
     lines = F.split(text["value"], "\n")
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     return text.select("file", F.posexplode_outer(lines).alias("n", "value")).select("file", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("n"), "value")
