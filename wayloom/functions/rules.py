@@ -19,8 +19,8 @@ def road_class(highway: Column) -> Column:
 def direction(oneway: Column, junction: Column, highway: Column) -> Column:
     """twoWay, forward, implied (by the kind of road) or reversed."""
     return (
-        F.when(oneway.isin("yes", "true", "1"), "forward").when(oneway.isin("-1", "reverse"), "reversed").when(oneway.isNotNull(), "twoWay")
-        .when(F.coalesce(junction == "roundabout", F.lit(False)) | F.coalesce(highway.isin("motorway", "motorway_link"), F.lit(False)), "implied").otherwise("twoWay")
+        F.when(oneway.isin("yes", "true", "1"), "forward").when(oneway.isin("-1", "reverse"), "reversed").when(oneway.isin("no", "false", "0", "reversible", "alternating"), "twoWay")
+        .when(F.coalesce(junction.isin("roundabout", "circular"), F.lit(False)) | F.coalesce(highway.isin("motorway", "motorway_link"), F.lit(False)), "implied").otherwise("twoWay")
     )
 
 
