@@ -91,3 +91,42 @@ def rounded_index_quantile(column: str, p: float) -> Column:
     """The element at round((n - 1) p) of the sorted values; half goes up."""
     values = F.sort_array(F.collect_list(column))
     return F.element_at(values, (F.round((F.size(values) - 1) * p) + 1).cast("int"))
+
+
+# fixed values: the gap that is told, rows out of order that are, kinds in which they are expected, seconds from which statistics must be there
+GAP_MS, OUT_OF_ORDER_SHARE, OUT_OF_ORDER_KINDS, STATS_AFTER_S = 50, 0.01, ("link", "elm"), 30
+
+
+def health_warnings(recordings: DataFrame, kinds: DataFrame, priors: DataFrame, key: str = "file") -> DataFrame:
+    """(key, warnings): what is worth a look before a recording is trusted, in a fixed order; an empty array for a clean one.
+
+    ``recordings``: truncated_tail, damaged_members, skipped_lines (arrays), failure, read_error, dropped (null: no statistics rows), seconds,
+    version, negative_latency, errors. ``kinds``: kind, place, count, gaps (null where none are looked for), longest_ms, out_of_order. ``priors``: place,
+    after_first_input, invalid_field. Missing rows of the last two are none; nulls warn of nothing."""
+    s = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    odd = (F.col("out_of_order") > F.col("count") * OUT_OF_ORDER_SHARE) & (F.col("out_of_order") > 0) & ~F.col("kind").isin(*OUT_OF_ORDER_KINDS)
+    own = warnings(kinds, [
+        (F.col("gaps") > 0, s(F.col("kind"), ": ", F.col("gaps"), f" gap(s) over {GAP_MS} ms, longest ", F.format_string("%.1f", F.bround(F.coalesce("longest_ms", F.lit(0.0)), 1)), " ms")),
+        (odd, s(F.col("kind"), ": ", F.col("out_of_order"), " out-of-order row(s)")),
+    ])
+    by_kind = kinds.select(key, "place", own.alias("w")).groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda x: x.w)).alias("kind_warnings"))
+    bad = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("place", "invalid_field"))), lambda x: x.invalid_field.isNotNull()), lambda x: s("navPrior row invalid (", x.invalid_field, "): a replay starts fresh"))
+    by_prior = priors.groupBy(key).agg(F.count("*").alias("priors"), F.max("after_first_input").alias("late"), bad.alias("bad_priors"))
+    r = recordings.join(by_kind, key, "left").join(by_prior, key, "left")
+    first = warnings(r, [
+        (F.col("truncated_tail"), F.lit("file has a truncated or damaged tail (crash or power loss); the last few seconds are missing")),
+        (F.size("damaged_members") > 0, s(F.size("damaged_members"), " damaged gzip member(s) skipped: [", F.array_join(F.col("damaged_members").cast("array<string>"), ", "), "]")),
+        (F.size("skipped_lines") > 0, s(F.size("skipped_lines"), " malformed line(s) skipped")),
+        (F.col("failure").isNotNull(), s("reading stopped early: ", F.col("failure"))),
+        (F.col("read_error").isNotNull(), s("reading stopped at a read error; the rest of the file was not read: ", F.col("read_error"))),
+        (F.col("dropped") > 0, s(F.col("dropped"), " event(s) dropped by the recorder")),
+        (F.col("dropped").isNull() & (F.col("seconds") > STATS_AFTER_S) & (F.col("version") >= 2), F.lit(f"no stats rows in a v2 recording longer than {STATS_AFTER_S} s")),
+    ])
+    last = warnings(r, [
+        (F.col("negative_latency") > 0, s(F.col("negative_latency"), " OBD reply(ies) stamped before their request")),
+        (F.col("errors") > 0, s(F.col("errors"), " lifecycle error row(s)")),
+        (F.col("priors") > 1, s(F.col("priors"), " navPrior rows (the recorder writes at most one)")),
+        (F.col("late"), F.lit("navPrior row after the first motion, location or obd row")),
+    ])
+    none = F.array().cast("array<string>")
+    return r.select(key, F.concat(first, F.coalesce("kind_warnings", none), last, F.coalesce("bad_priors", none)).alias("warnings"))

@@ -173,3 +173,34 @@ SELECT line_no, kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, kind IN (
 def kind_views_from_json(spark, sf):
     data = F.from_json("props", "k bigint")
     return events(spark, sf).select("line_no", "kind", data["k"].alias("k"), F.col("kind").isin("click", "view", "error").alias("known"), F.when(F.col("kind") == "click", data["k"].cast("double")).alias("click_k"))
+
+
+# every session is a recording; what is wrong with it follows from its number and its events
+_HEALTH = f"""
+k AS (SELECT session, kind, count(*) AS n, count(*) FILTER (gap > {36 * HOUR}) AS gaps, (max(gap) // 1000000)::DOUBLE AS longest, count(*) FILTER (value < 3) AS odd FROM (SELECT *, t - lag(t) OVER (PARTITION BY session, kind ORDER BY t) AS gap FROM @ev ) GROUP BY session, kind),
+r AS (SELECT session, (max(t) - min(t)) / 1e9 AS seconds, count(*) FILTER (kind = 'signup' AND k < 10) AS negative, count(*) FILTER (kind = 'error') AS errors FROM @ev GROUP BY session),
+p AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY line_no) AS place, k % 2 = 0 AS late, CASE WHEN k % 3 = 0 THEN 'latitude' END AS bad FROM @ev WHERE kind = 'purchase' AND k % 7 = 0),
+kw AS (SELECT session, string_agg(w, '|' ORDER BY kind) FILTER (w <> '') AS w FROM (SELECT session, kind, concat_ws('|', CASE WHEN kind <> 'click' AND gaps > 0 THEN kind || ': ' || gaps || ' gap(s) over 50 ms, longest ' || format('{{:.1f}}', longest) || ' ms' END,
+  CASE WHEN odd > n * 0.01 AND odd > 0 THEN kind || ': ' || odd || ' out-of-order row(s)' END) AS w FROM k) GROUP BY session),
+pw AS (SELECT session, count(*) AS n, bool_or(late) AS late, string_agg('navPrior row invalid (' || bad || '): a replay starts fresh', '|' ORDER BY place) FILTER (bad IS NOT NULL) AS bad FROM p GROUP BY session)"""
+
+
+@query("recording_health", f"""
+WITH {_HEALTH}
+SELECT session, concat_ws('|', CASE WHEN session % 5 = 1 THEN 'file has a truncated or damaged tail (crash or power loss); the last few seconds are missing' END, CASE WHEN session % 4 = 2 THEN '2 damaged gzip member(s) skipped: [3, 7]' END, CASE WHEN session % 6 = 3 THEN '1 malformed line(s) skipped' END,
+  CASE WHEN session % 7 = 4 THEN 'reading stopped early: crc' END, CASE WHEN session % 9 = 5 THEN 'reading stopped at a read error; the rest of the file was not read: EIO' END, CASE WHEN session % 3 = 1 THEN session || ' event(s) dropped by the recorder' END,
+  CASE WHEN session % 3 = 2 AND seconds > 30 AND session % 2 = 0 THEN 'no stats rows in a v2 recording longer than 30 s' END, kw.w, CASE WHEN negative > 0 THEN negative || ' OBD reply(ies) stamped before their request' END,
+  CASE WHEN errors > 0 THEN errors || ' lifecycle error row(s)' END, CASE WHEN pw.n > 1 THEN pw.n || ' navPrior rows (the recorder writes at most one)' END, CASE WHEN late THEN 'navPrior row after the first motion, location or obd row' END, bad) AS warnings
+FROM r LEFT JOIN kw USING (session) LEFT JOIN pw USING (session)""")
+def recording_health(spark, sf):
+    e, s, k = events(spark, sf), F.col("session"), F.col("k")
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("session", "kind").orderBy("t"))
+    kinds = e.withColumn("gap", gap).groupBy("session", "kind").agg(F.count("*").alias("count"), F.when(F.col("kind") != "click", F.count_if(F.col("gap") > 36 * HOUR)).alias("gaps"), F.floor(F.max("gap") / 1000000).cast("double").alias("longest_ms"), F.count_if(F.col("value") < 3).alias("out_of_order")).withColumn("place", F.col("kind"))
+    r = e.groupBy("session").agg(((F.max("t") - F.min("t")) / 1e9).alias("seconds"), F.count_if((F.col("kind") == "signup") & (k < 10)).alias("negative_latency"), F.count_if(F.col("kind") == "error").alias("errors"))
+    none = F.array().cast("array<int>")
+    r = r.withColumns({
+        "truncated_tail": s % 5 == 1, "damaged_members": F.when(s % 4 == 2, F.array(F.lit(3), F.lit(7))).otherwise(none), "skipped_lines": F.when(s % 6 == 3, F.array(F.lit(9))).otherwise(none), "failure": F.when(s % 7 == 4, "crc"), "read_error": F.when(s % 9 == 5, "EIO"),
+        "dropped": F.when(s % 3 == 1, s).when(s % 3 == 0, 0), "version": F.when(s % 2 == 0, 2).otherwise(1)})
+    place = F.row_number().over(Window.partitionBy("session").orderBy("line_no"))
+    priors = e.where((F.col("kind") == "purchase") & (k % 7 == 0)).select("session", place.alias("place"), (k % 2 == 0).alias("after_first_input"), F.when(k % 3 == 0, "latitude").alias("invalid_field"))
+    return P.health_warnings(r, kinds, priors, "session").select("session", F.array_join("warnings", "|").alias("warnings"))
