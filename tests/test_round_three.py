@@ -257,3 +257,31 @@ def test_running_sums_across_blocks(spark):
                 total += last[1] * min(5, t - last[0]) if last else 0
                 last = (t, v)
                 assert abs(got[n] - total) < 1e-9
+
+
+def test_means_latches_and_thinning_across_blocks(spark):
+    from wayloom.operators import sequence as Q
+
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), rng.randrange(0, 6000) if rng.random() < 0.9 else rng.randrange(0, 200_000), i, float(rng.randrange(100))) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t long, n int, v double")
+    mean = {r["n"]: r["mean"] for r in Q.smoothed(df, ["k"], "t", "n", "v", 37).collect()}
+    latch = {dwell: {r["n"]: (r["on"], r["rises"]) for r in Q.latched(df, ["k"], "t", "n", "v", 30, 70, 100, dwell).collect()} for dwell in (0, 40)}
+    kept = {(r["k"], r["n"]) for r in Q.thinned(df, ["k"], "t", "n", 90).collect()}
+    want = set()
+    for k in "ab":
+        m, last, at = None, None, None
+        state, since = {0: False, 40: False}, None
+        for _, t, n, v in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            m = v if m is None else m + (1 - math.exp(-(t - last) / 37)) * (v - m)
+            last = t
+            assert abs(mean[n] - m) < 1e-6
+            since = None if v >= 30 else t if since is None else since
+            for dwell, was in list(state.items()):
+                now = True if v > 70 else False if v < 30 and t - since >= dwell else was
+                assert latch[dwell][n] == (now, now and not was)
+                state[dwell] = now
+            if at is None or t - at >= 90:
+                want.add((k, n))
+                at = t
+    assert kept == want

@@ -38,13 +38,14 @@ def way_nodes_without_repeats(spark, sf):
 
 
 @query("way_filter", """
-WITH o AS (SELECT o_orderkey, (ARRAY['motorway', 'primary', 'footway', 'service'])[CAST(o_orderkey % 4 + 1 AS INT)] AS hw, o_orderkey % 7 = 0 AS area, o_orderkey % 5 = 0 AS aisle, o_orderkey % 3 AS located FROM orders),
+WITH o AS (SELECT o_orderkey, (ARRAY['motorway', 'primary', 'footway', 'service'])[CAST(o_orderkey % 4 + 1 AS INT)] AS hw, o_orderkey % 7 = 0 AS area, o_orderkey % 5 = 0 AS aisle, coalesce(n, 0) AS located FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) FILTER (l_partkey % 3 > 0) AS n FROM lineitem GROUP BY l_orderkey) USING (o_orderkey)),
 r AS (SELECT *, CASE WHEN hw = 'footway' THEN 'class' WHEN area THEN 'area' WHEN aisle THEN 'aisle' WHEN located < 2 THEN 'degenerate' END AS reason FROM o)
 SELECT hw AS highway, coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY ALL""")
 def way_filter(spark, sf):
     k = F.col("o_orderkey")
     o = table(spark, sf, "orders").select(k, F.element_at(F.array(*map(F.lit, ("motorway", "primary", "footway", "service"))), (k % 4 + 1).cast("int")).alias("highway"), F.when(k % 7 == 0, "yes").alias("area"), F.when(k % 5 == 0, "parking_aisle").alias("service"))
-    r = R.way_decisions(o, ["motorway", "primary", "service"], k % 3)
+    located = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_partkey") % 3 > 0).alias("located"))
+    r = R.way_decisions(o.join(located, "o_orderkey", "left"), ["motorway", "primary", "service"], F.coalesce("located", F.lit(0)))
     return r.groupBy("highway", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -119,16 +120,17 @@ def polylines(spark, sf):
 
 
 @query("merged_nodes", """
-WITH RECURSIVE s AS (SELECT o_custkey AS way_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 4001 AS node_id, o_orderkey % 4001 // 40 AS spot FROM orders),
+WITH RECURSIVE s AS (SELECT o_orderkey // 8 AS way_id, row_number() OVER (PARTITION BY o_orderkey // 8 ORDER BY o_custkey, o_orderkey) AS pos, o_orderkey // 3 AS node_id, o_orderkey // 12 AS spot FROM orders),
 p AS (SELECT DISTINCT node_id AS a, lag(node_id) OVER w AS b, lag(spot) OVER w = spot AS same FROM s WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
 l AS (SELECT a, b FROM p WHERE same AND a <> b UNION SELECT b, a FROM p WHERE same AND a <> b),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT a AS node_id, least(a, min(b)) AS merged FROM r GROUP BY a""")
 def merged_nodes(spark, sf):
-    w = Window.partitionBy("way_id").orderBy("o_orderkey")
-    spot = F.floor(F.col("o_orderkey") % 4001 / 40)
-    o = table(spark, sf, "orders").withColumn("way_id", F.col("o_custkey"))
-    s = o.select("way_id", F.row_number().over(w).alias("pos"), (F.col("o_orderkey") % 4001).alias("node_id"), spot.alias("lat_e7"), spot.alias("lon_e7"))
+    """Neighbours of a way often lie at one spot, and ways share nodes, so groups go over several ways."""
+    w = Window.partitionBy("way_id").orderBy("o_custkey", "o_orderkey")
+    part = lambda n: F.floor(F.col("o_orderkey") / n)
+    o = table(spark, sf, "orders").withColumn("way_id", part(8))
+    s = o.select("way_id", F.row_number().over(w).alias("pos"), part(3).alias("node_id"), part(12).alias("lat_e7"), part(12).alias("lon_e7"))
     return R.merged_nodes(s)
 
 

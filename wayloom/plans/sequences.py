@@ -83,13 +83,8 @@ WITH s AS (SELECT session, list({'v': value, 't': t} ORDER BY t, line_no) AS row
 SELECT session, round(list_reduce(list_transform(rows, lambda r: {'m': r.v, 't': r.t}), lambda a, r: {'m': a.m + (1 - exp(-((r.t - a.t) / 1e9) / 36000.0)) * (r.m - a.m), 't': r.t}).m, 6) AS mean, len(rows) AS n FROM s""")
 def acceleration_ema(spark, sf):
     e = events(spark, sf).where("kind = 'view'")
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("long").alias("t"), F.lit(0).cast("long").alias("n"))
-
-    def step(a, r):
-        blend = 1 - F.exp(-((r.t - a.t) / 1e9) / 36000.0)
-        return F.struct(F.when(a.m.isNull(), r.value).otherwise(a.m + blend * (r.value - a.m)).alias("m"), r.t.alias("t"), (a.n + 1).alias("n"))
-
-    return S.folded(e, ["session"], ["t", "line_no"], ["value"], start, step).select("session", F.round("result.m", 6).alias("mean"), F.col("result.n").alias("n"))
+    m = S.smoothed(e, ["session"], "t", "line_no", "value", 36_000_000_000_000)
+    return m.groupBy("session").agg(F.round(F.max_by("mean", F.struct("t", "line_no")), 6).alias("mean"), F.count("*").alias("n"))
 
 
 @query("hysteresis_latch", """
@@ -98,13 +93,40 @@ SELECT session, list_reduce(list_prepend({'on_': false, 'n': CAST(0 AS BIGINT),
   lambda a, r: {'on_': CASE WHEN r.v > 100 THEN true WHEN r.v < 30 THEN false ELSE a.on_ END, 'n': CASE WHEN r.v > 100 AND NOT a.on_ THEN a.n + 1 ELSE a.n END, 'v': r.v}).n AS alarms FROM s""")
 def hysteresis_latch(spark, sf):
     e = events(spark, sf).where("kind = 'error'")
-    start = F.struct(F.lit(False).alias("on"), F.lit(0).cast("long").alias("n"))
-
-    def step(a, r):
-        high = r.value > 100
-        return F.struct(F.when(high, True).when(r.value < 30, False).otherwise(a.on).alias("on"), F.when(high & ~a.on, a.n + 1).otherwise(a.n).alias("n"))
-
-    return S.folded(e, ["session"], ["t", "line_no"], ["value"], start, step).select("session", F.col("result.n").alias("alarms"))
+    on = S.latched(e, ["session"], "t", "line_no", "value", 30, 100, 100 * HOUR)
+    return on.groupBy("session").agg(F.count_if("rises").alias("alarms"))
+
+
+@query("dwelling_latch", f"""
+WITH e AS (SELECT *, value < 30 AS low, coalesce(lag(value) OVER (PARTITION BY session ORDER BY t, line_no) < 30, false) AS low0 FROM @ev ),
+s AS (SELECT *, max(CASE WHEN low AND NOT low0 THEN t END) OVER (PARTITION BY session ORDER BY t, line_no) AS since FROM e),
+d AS (SELECT *, CASE WHEN value > 60 THEN 1 WHEN low AND t - since >= {24 * HOUR} THEN 0 END AS d FROM s),
+o AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY session ORDER BY t, line_no), 0) = 1 AS on_ FROM d)
+SELECT line_no, on_ AS latched, on_ AND NOT coalesce(lag(on_) OVER (PARTITION BY session ORDER BY t, line_no), false) AS rises FROM o""")
+def dwelling_latch(spark, sf):
+    """Grows at once, shrinks after a day below."""
+    on = S.latched(events(spark, sf), ["session"], "t", "line_no", "value", 30, 60, 100 * HOUR, dwell=24 * HOUR)
+    return on.select("line_no", F.col("on").alias("latched"), "rises")
+
+
+@query("track_thinning", f"""
+WITH RECURSIVE f AS (SELECT session, t, min(line_no) AS line_no FROM @fix GROUP BY session, t),
+k AS (SELECT session, min(t) AS t FROM f GROUP BY session UNION ALL SELECT k.session, (SELECT min(f.t) FROM f WHERE f.session = k.session AND f.t >= k.t + {12 * HOUR}) FROM k WHERE k.t IS NOT NULL)
+SELECT session, line_no, t FROM f SEMI JOIN k USING (session, t)""")
+def track_thinning(spark, sf):
+    """Points kept at least 12 hours after the last kept one, per session: each depends on the one kept before."""
+    return S.thinned(fixes(spark, sf).select("session", "line_no", "t"), ["session"], "t", "line_no", 12 * HOUR).select("session", "line_no", "t")
+
+
+@query("written_windows", f"""
+WITH x AS (SELECT *, max(t) OVER (PARTITION BY session ORDER BY line_no) AS seen, first_value(t) OVER (PARTITION BY session ORDER BY line_no) AS t0 FROM @ev ),
+w AS (SELECT *, CAST(floor((seen - t0) / {24 * HOUR}.0) AS BIGINT) AS w FROM x)
+SELECT session, w, count(*) AS events, count(*) FILTER (t < seen) AS late, count(*) FILTER (kind = 'click') AS clicks FROM w GROUP BY session, w""")
+def written_windows(spark, sf):
+    """Windows in the order of writing: rows that come late count where they were written."""
+    e = S.write_windows(events(spark, sf), ["session"], "t", "line_no", 24 * HOUR)
+    seen = F.max("t").over(Window.partitionBy("session").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return e.withColumn("seen", seen).groupBy("session", "w").agg(F.count("*").alias("events"), F.count_if(F.col("t") < F.col("seen")).alias("late"), F.count_if(F.col("kind") == "click").alias("clicks"))
 
 
 @query("grid_sampling", f"""

@@ -1,4 +1,4 @@
-"""Queries without SQL: the stateful filter, hashes with unsigned arithmetic, thinning."""
+"""Queries without SQL: the stateful filter, hashes with unsigned arithmetic."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..streaming import filter as P
-from .base import HOUR, events, fixes, query
+from .base import events, query
 
 
 @query("filter_replay")
@@ -41,18 +41,3 @@ def fnv1a64(spark, sf):
         return pd.Series([f"{x:016x}" for x in h.tolist()])
 
     return events(spark, sf).select("line_no", fnv("props").alias("hash"))
-
-
-@query("track_thinning")
-def track_thinning(spark, sf):
-    """Points kept at least 12 hours after the last kept one, per session: each depends on the one kept before."""
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "line_no"])
-        keep, last = [], None
-        for t in pdf["t"].tolist():
-            keep.append(last is None or t - last >= 12 * HOUR)
-            last = t if keep[-1] else last
-        return pdf[keep]
-
-    return fixes(spark, sf).select("session", "line_no", "t").groupBy("session").applyInPandas(thin, "session long, line_no long, t long")
