@@ -102,6 +102,17 @@ def project(px, py, ax, ay, bx, by) -> Column:
     return F.struct(((px - qx) * (px - qx) + (py - qy) * (py - qy)).alias("d2"), t.alias("t"), qx.alias("qx"), qy.alias("qy"))
 
 
+def nearest_on_segment(px, py, ax, ay, bx, by) -> Column:
+    """struct(qx, qy, distance, ux, uy, across): the nearest point of a segment, the segment's unit vector and the point's signed distance
+    from its line (positive to the right of a-b). A segment without length points north."""
+    px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
+    length = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    ux, uy = F.when(length > 0, (bx - ax) / length).otherwise(0.0), F.when(length > 0, (by - ay) / length).otherwise(1.0)
+    along = F.least(F.greatest((px - ax) * ux + (py - ay) * uy, F.lit(0.0)), length)
+    qx, qy = ax + along * ux, ay + along * uy
+    return F.struct(qx.alias("qx"), qy.alias("qy"), F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)).alias("distance"), ux.alias("ux"), uy.alias("uy"), ((px - ax) * uy - (py - ay) * ux).alias("across"))
+
+
 def segment_rectangle_d2(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
     """Squared distance of segment a-b and a rectangle; 0 where they touch.
 

@@ -190,6 +190,12 @@ def download_file(name: Column, content_hash: Column, extension: str) -> Column:
     return F.concat(F.lit(DOWNLOAD_PREFIX), file)
 
 
+def download_parts(file: Column) -> Column:
+    """struct(kind, name, hash) of an unfinished download's file name (partial or metadata); null fields where it is none."""
+    at = lambda k: F.nullif(F.regexp_extract(file, r"^\.download-([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)-([0-9a-f]{16})\.(part|json)\z", k), F.lit(""))
+    return F.struct(F.when(at(3) == "part", "partial").when(at(3) == "json", "metadata").alias("kind"), at(1).alias("name"), at(2).alias("hash"))
+
+
 def title(uk: Column, en: Column, name: Column, language: Column) -> Column:
     """The title in the preferred language, else the other, else the name; titles of white space (of any script) don't count."""
     first = F.lower(F.coalesce(language, F.lit("")))

@@ -69,12 +69,12 @@ def _before(rows: DataFrame, keys: list[str], order: list[str], columns: list[st
     return rows.join(ends, [*keys, "__b"]).withColumn("__p", F.coalesce("__p", "__q")).drop("__q")
 
 
-def smoothed(df: DataFrame, keys: list[str], t: str, order: str, value: str, tau: int) -> DataFrame:
+def smoothed(df: DataFrame, keys: list[str], t: str, order: str, value: str, tau: float) -> DataFrame:
     """(keys, t, order, mean): the exponential mean with irregular steps, m + (1 - exp(-dt / tau)) (v - m) from the first value on.
 
     A value adds (1 - exp(-dt / tau)) v, which decays with time; so a block's rows are a running sum of values scaled by their time in the
     block (20 tau at most, so nothing overflows), and only the mean at its end goes on to the next block."""
-    block = 20 * tau
+    block = max(1, int(20 * tau))
     rows = df.select(*keys, t, order, F.col(value).cast("double").alias("v"), F.floor(F.col(t) / block).alias("__b"))
     rows = _before(rows, keys, [t, order], [t])
     start = F.col("__b") * block
@@ -84,7 +84,7 @@ def smoothed(df: DataFrame, keys: list[str], t: str, order: str, value: str, tau
     rows = rows.withColumn("__s", F.sum("__x").over(inside))
     # the mean at a block's end, decayed to its start: what it adds, and how what came before has decayed by then
     ends = rows.groupBy(*keys, "__b").agg(F.sum("__x").alias("s"))
-    decay = exp(-20.0)
+    decay = exp(-block / tau)
     carry = F.aggregate("__before", F.struct(F.lit(0.0).alias("m"), F.lit(None).cast("long").alias("b")), lambda a, x: F.struct((F.coalesce(a.m * F.pow(F.lit(decay), (x.b - a.b).cast("double")), F.lit(0.0)) + x.s).alias("m"), x.b.alias("b")))
     w = Window.partitionBy(*keys).orderBy("__b").rangeBetween(-3, -1)  # older blocks have decayed by e^-60 and more
     ends = ends.withColumn("__before", F.collect_list(F.struct(F.col("__b").alias("b"), "s")).over(w)).withColumn("__c", carry)
@@ -174,3 +174,8 @@ def seen_before(df: DataFrame, keys: list[str], order: list[str], what: Column)
     """Whether an earlier row of the key had ``what``."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("seen", F.coalesce(F.max(what).over(w), F.lit(False)))
+
+
+def prior_source(recorded: Column, explicit: Column, none: Column, valid: Column, started_before: Column) -> Column:
+    """Which prior a replay uses: absent, overridden, ignored, invalid, cut (handed over at a later start) or used."""
+    return F.when(~recorded, "absent").when(explicit, "overridden").when(none, "ignored").when(~valid, "invalid").when(started_before, "cut").otherwise("used")

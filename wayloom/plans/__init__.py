@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL
 
-for _name in ("profiling", "aligning", "sequences", "scalars", "road_graph", "evaluation", "rule_tables", "replies", "recordings", "sidecars", "road_rules", "offsets", "surveys", "graph_build", "manifests", "checkpoints", "stateful"):
+for _name in ("profiling", "aligning", "sequences", "scalars", "road_graph", "evaluation", "rule_tables", "replies", "recordings", "sidecars", "road_rules", "offsets", "surveys", "graph_build", "manifests", "checkpoints", "small_items", "stateful"):
     import_module(f"{__name__}.{_name}")
 
 

@@ -1,9 +1,7 @@
-"""Queries without SQL: the stateful filter, hashes with unsigned arithmetic."""
+"""The query without SQL: the stateful filter."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..streaming import filter as P
@@ -22,22 +20,3 @@ def filter_replay(spark, sf):
         (30 + k * 0.0001).alias("b"), (k + 1.0).alias("c"), F.lit(-1.0).alias("d"),
     )
     return P.replay(rows).select("session", "t", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("ess", 3).alias("ess"))
-
-
-@query("fnv1a64")
-def fnv1a64(spark, sf):
-    """The 64-bit FNV-1a hash of each event's props, as 16 hex digits: byte by byte over whole columns of texts."""
-
-    @F.pandas_udf("string")
-    def fnv(texts: pd.Series) -> pd.Series:
-        raw = [x.encode() for x in texts.fillna("")]
-        size = np.array([len(x) for x in raw])
-        grid = np.zeros((len(raw), max(size, default=0)), np.uint64)
-        for k, x in enumerate(raw):
-            grid[k, : len(x)] = np.frombuffer(x, np.uint8)
-        h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
-        for j in range(grid.shape[1]):
-            h = np.where(j < size, (h ^ grid[:, j]) * np.uint64(0x100000001B3), h)
-        return pd.Series([f"{x:016x}" for x in h.tolist()])
-
-    return events(spark, sf).select("line_no", fnv("props").alias("hash"))
