@@ -58,6 +58,25 @@ def status_decision(status: Column, offset: Column, range_first: Column, range_t
     )
 
 
+def response_decision(status: Column, offset: Column, content_range: Column, etag: Column, stored_etag: Column, expected: Column, length: Column) -> Column:
+    """struct(action, why) of a download's response: writeFromZero, append, restart (without a range) or fail. ``offset`` is null for a request
+    without a range; tags are compared without their weak mark."""
+    at = lambda k: F.nullif(F.regexp_extract(content_range, r"^bytes (\d+)-(\d+)/(\d+|\*)\z", k), F.lit(""))
+    first, last, total = (at(k).try_cast("long") for k in (1, 2, 3))
+    usable = F.coalesce((first <= last) & (total.isNull() | (last < total)), F.lit(False))
+    tag = lambda c: F.regexp_replace(c, "^W/", "")
+    of = lambda action, why: F.struct(F.lit(action).alias("action"), F.lit(why).alias("why"))
+    resumed = (
+        F.when(offset.isNull(), of("fail", "norange")).when(content_range.isNull(), of("restart", "noheader")).when(~usable, of("restart", "header")).when(first != offset, of("restart", "start"))
+        .when(~total.eqNullSafe(expected), of("restart", "size")).when(tag(etag) != tag(stored_etag), of("restart", "etag")).otherwise(of("append", ""))
+    )
+    return (
+        F.when(status == 200, F.when(length != expected, of("fail", "length")).otherwise(of("writeFromZero", ""))).when(status == 206, resumed)
+        .when(status == 416, F.when(offset.isNull(), of("fail", "norange")).otherwise(of("restart", "unservable"))).when(status == 404, of("fail", "gone")).when(status.between(500, 599), of("fail", "server"))
+        .when(status.between(400, 499), of("fail", "client")).otherwise(of("fail", "unexpected"))
+    )
+
+
 def byte_range(first: Column, last: Column, size: Column) -> Column:
     """struct(ok, first, last): a requested range held against a file's size; an open end is the last byte."""
     end = F.least(F.coalesce(last, size - 1), size - 1)

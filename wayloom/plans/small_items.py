@@ -6,8 +6,9 @@ from math import log
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import fnv as H, geo as G, text as T
+from ..functions import fnv as H, geo as G, rules as D, text as T
 from ..operators import catalog as C, roads as R, sequence as S
+from ..sources import csv_export as X, osm as O
 from .base import events, fixes, query, table
 from .evaluation import _files
 from .offsets import _SIZE, _STREETS, _streets, _tracks
@@ -137,3 +138,49 @@ def way_lookup(spark, sf):
     ways = table(spark, sf, "orders").select(F.col("o_orderkey").alias("way_id"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("tag"))
     edges = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") < 3, F.col("l_orderkey")).alias("way_id"))
     return edges.join(ways, "way_id", "left").select("l_orderkey", "l_linenumber", "class", "tag")
+
+
+@query("download_decisions", """
+WITH b AS (SELECT line_no, k, (ARRAY[200, 206, 416, 404, 503, 401, 302])[CAST(k % 7 + 1 AS INT)] AS st, CASE WHEN k % 5 > 0 THEN k * 10 END AS off FROM @ev )
+SELECT line_no, CASE st WHEN 200 THEN CASE WHEN k % 4 = 0 THEN 'fail' ELSE 'writeFromZero' END WHEN 206 THEN CASE WHEN off IS NULL THEN 'fail' WHEN k % 3 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0 THEN 'restart' ELSE 'append' END WHEN 416 THEN CASE WHEN off IS NULL THEN 'fail' ELSE 'restart' END ELSE 'fail' END AS action,
+  CASE st WHEN 200 THEN CASE WHEN k % 4 = 0 THEN 'length' ELSE '' END WHEN 206 THEN CASE WHEN off IS NULL THEN 'norange' WHEN k % 3 = 0 THEN 'noheader' WHEN k % 11 = 0 THEN 'start' WHEN k % 13 = 0 THEN 'size' WHEN k % 17 = 0 THEN 'etag' ELSE '' END WHEN 416 THEN CASE WHEN off IS NULL THEN 'norange' ELSE 'unservable' END
+    WHEN 404 THEN 'gone' WHEN 503 THEN 'server' WHEN 401 THEN 'client' ELSE 'unexpected' END AS why FROM b""")
+def download_decisions(spark, sf):
+    k = F.col("k")
+    status = F.element_at(F.array(*map(F.lit, (200, 206, 416, 404, 503, 401, 302))), (k % 7 + 1).cast("int"))
+    got = F.when(k % 3 != 0, F.concat(F.lit("bytes "), (k * 10 + F.when(k % 11 == 0, 1).otherwise(0)).cast("string"), F.lit("-4999/"), F.when(k % 13 == 0, "*").otherwise("5000")))
+    d = D.response_decision(status, F.when(k % 5 > 0, k * 10), got, F.when(k % 17 == 0, 'W/"b"').otherwise('W/"a"'), F.lit('"a"'), F.lit(5000), F.when(k % 4 == 0, 1).otherwise(5000))
+    return events(spark, sf).select("line_no", d.alias("d")).select("line_no", "d.action", "d.why")
+
+
+@query("opl_problems", """
+WITH b AS (SELECT l_orderkey * 8 + l_linenumber AS n, l_partkey AS p, l_orderkey % 12 AS d FROM lineitem)
+SELECT n, CASE d WHEN 1 THEN 'bad way id' WHEN 2 THEN 'way ' || p || ' has no node list' WHEN 3 THEN 'tag without ''=''' WHEN 4 THEN 'bad % escape' WHEN 5 THEN 'bad node reference' WHEN 6 THEN 'bad node id' WHEN 7 THEN 'node ' || p || ': x without y' WHEN 8 THEN 'node ' || p || ': bad location' WHEN 9 THEN 'bad % escape' END AS message FROM b WHERE d BETWEEN 1 AND 9""")
+def opl_problems(spark, sf):
+    """A way line for each row, with one of nine faults or none; node lines and unlocated nodes are fine."""
+    p, d = F.col("l_partkey").cast("string"), F.col("l_orderkey") % 12
+    s = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    good = s("w", p, " v1 Ta=%20%b,c=d Nn", p, "x30.1234567y50,n2xy,n3")
+    line = (
+        F.when(d == 1, s("w", p, "x v1 Nn1")).when(d == 2, s("w", p, " v1 Ta=b")).when(d == 3, s("w", p, " Tab,c=d Nn1")).when(d == 4, s("w", p, " Ta=%2 Nn1")).when(d == 5, s("w", p, " Nn1,m2")).when(d == 6, s("w", p, " Nn1,nax1y2"))
+        .when(d == 7, s("w", p, " Nn", p, "x1")).when(d == 8, s("w", p, " Nn", p, "x1.12345678y2")).when(d == 9, s("w", p, " Ta=%d800% Nn1")).when(d == 10, s("n", p, " x1")).otherwise(good)
+    )
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"), line.alias("value"))
+    return O.opl_problems(rows, "n")
+
+
+@query("csv_lines", r'''
+WITH b AS (SELECT line_no, t, k, kind AS k0, (ARRAY['motion', 'obd', 'marker', 'stats', 'gpsSwitch', 'odd kind!'])[CAST(k % 6 + 1 AS INT)] AS kind FROM @ev )
+SELECT line_no, CASE WHEN k % 6 = 5 THEN 'odd_kind_' ELSE kind END || '.csv' AS file, t || ',' || CASE k % 6 WHEN 0 THEN k || ',1.5,,,,,,,,,,,0.5,,,,7' WHEN 1 THEN '13,' || k || ',km/h,"41 0D, ""x""",,,7E8,' WHEN 2 THEN '"a' || k || ',b"'
+  WHEN 3 THEN '10.0,,,,,,,' || k || ',,2,,,,"{""' || k0 || '"":1}"' WHEN 4 THEN CASE WHEN k % 4 = 0 THEN 'true' ELSE 'false' END || ',' ELSE '"{""x"":[' || k || ',null]}"' END AS line FROM b''')
+def csv_lines(spark, sf):
+    k, n = F.col("k"), F.col("k").cast("string")
+    s = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    data = (
+        F.when(k % 6 == 0, s('{"userAcceleration":{"x":', n, ',"y":1.5},"attitude":{"w":0.5},"magneticAccuracy":7}')).when(k % 6 == 1, s('{"pid":13,"value":', n, r',"unit":"km/h","raw":"41 0D, \"x\"","ecu":"7E8"}'))
+        .when(k % 6 == 2, s('"a', n, ',b"')).when(k % 6 == 3, s('{"windowS":10.0,"gaps":{"motion":', n, ',"gyro":2},"counts":{"', F.col("kind"), '":1}}')).when(k % 6 == 4, s('{"on":', F.when(k % 4 == 0, "true").otherwise("false"), "}")).otherwise(s('{"x":[', n, ",null]}"))
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("motion", "obd", "marker", "stats", "gpsSwitch", "odd kind!"))), (k % 6 + 1).cast("int"))
+    e = events(spark, sf).withColumn("data", data).withColumn("kind", kind)
+    name = F.concat(F.coalesce(F.nullif(T.file_name(F.col("kind")), F.lit("")), F.lit("_")), F.lit(".csv"))
+    return e.select("line_no", name.alias("file"), X.line(F.col("t"), F.col("kind"), F.col("data")).alias("line"))

@@ -34,6 +34,42 @@ def opl_ways(lines: DataFrame, value: str = "value") -> DataFrame:
     return w.select(F.substring(fields[0], 2, 30).cast("long").alias("way_id"), F.map_from_entries(pairs).alias("tags"), F.transform(refs, node).alias("nodes"))
 
 
+def opl_problems(lines: DataFrame, n: str, value: str = "value") -> DataFrame:
+    """(n, message) of way lines that don't parse, by their line number: the first thing wrong with each. ``opl_ways`` of the others is sound."""
+    w = lines.where(F.col(value).startswith("w")).select(F.col(n).alias("n"), F.regexp_replace(value, r"\r\z", "").alias("l"))
+    fields = F.filter(F.split("l", " "), lambda x: x != "")
+    some = lambda a, f: F.get(F.filter(F.transform(a, f), lambda m: m.isNotNull()), F.lit(0))
+    whole = lambda c: c.rlike(r"^-?\d+\z") & c.try_cast("long").isNotNull()
+
+    def escape(c: Column) -> Column:  # a text whose % signs don't pair, or whose code is no character
+        parts = F.split(c, "%")
+        code = lambda x: F.conv(x, 16, 10).cast("long")
+        bad = F.exists(F.transform(parts, lambda x, i: (i % 2 == 1) & (~x.rlike(r"^[0-9A-Fa-f]{1,6}\z") | F.coalesce(code(x).between(0xD800, 0xDFFF) | (code(x) > 0x10FFFF), F.lit(True)))), lambda b: b)
+        return (F.size(parts) % 2 == 0) | bad
+
+    def tags(body: Column) -> Column:
+        pairs = F.filter(F.split(body, ","), lambda x: x != "")
+        return some(pairs, lambda p: F.when(~F.contains(p, F.lit("=")), "tag without '='").when(escape(p), "bad % escape"))
+
+    def node(r: Column) -> Column:
+        key = F.regexp_extract(r, r"^n([^x]*)", 1)
+        lon, lat = F.regexp_extract(r, "x([^y]*)y", 1), F.regexp_extract(r, "x[^y]*y(.*)", 1)
+        named = lambda text: F.concat(F.lit("node "), key, F.lit(text))
+        sound = lambda c: F.coalesce(e7(F.regexp_replace(c, r"\.\z", "")).between(-(2**31), 2**31 - 1), F.lit(False))
+        return (
+            F.when(~r.rlike("^n."), "bad node reference").when(~whole(key), "bad node id").when(F.contains(r, F.lit("x")) & ~r.rlike("x[^y]*y"), named(": x without y"))
+            .when(((lon != "") | (lat != "")) & ~(sound(lon) & sound(lat)), named(": bad location"))
+        )
+
+    def field(f: Column) -> Column:
+        body = F.substring(f, 2, 1 << 30)
+        refs = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(body, r",\z", ""), ","))
+        return F.when(f.startswith("w"), F.when(~whole(body), "bad way id")).when(f.startswith("T"), tags(body)).when(f.startswith("N"), some(refs, node))
+
+    none = F.when(~F.exists(fields, lambda f: f.startswith("N")), F.concat(F.lit("way "), F.substring(fields[0], 2, 1 << 30), F.lit(" has no node list")))
+    return w.select("n", F.coalesce(some(fields, field), none).alias("message")).where("message is not null")
+
+
 def way_nodes(ways: DataFrame) -> DataFrame:
     return ways.select("way_id", F.posexplode("nodes").alias("pos", "n")).select("way_id", F.col("pos").cast("long").alias("pos"), "n.node_id", "n.lat_e7", "n.lon_e7")
 
