@@ -285,3 +285,44 @@ def test_means_latches_and_thinning_across_blocks(spark):
                 want.add((k, n))
                 at = t
     assert kept == want
+
+
+def test_csv_parts_have_headers(spark, tmp_path):
+    import csv
+    import io
+
+    from wayloom.sources import csv_export as X
+
+    rows = [(k, "obd", json.dumps({"pid": 13, "value": k, "raw": 'a"b,\nc'})) for k in range(40)] + [(5, "marker", '"hi, you"'), (6, "we/ird", '{"b":1}'), (7, "", None), (8, "motion", "nonsense"), (9, "adapter", json.dumps({"name": "n", "gatt": {"writeType": "w", "maxWriteLength": 20}, "polling": {"pids": [12, 13], "multiPID": True}}))]
+    X.write(spark.createDataFrame(rows, "t long, kind string, data string"), f"file://{tmp_path}/csv")
+    found = {}
+    for folder in (tmp_path / "csv").iterdir():
+        if folder.name.startswith("file="):
+            for part in sorted(folder.glob("part-*")):
+                lines = list(csv.reader(io.StringIO(part.read_text())))
+                found.setdefault(folder.name[5:], []).append(lines)
+    obd = [r for part in found["obd.csv"] for r in part if r[0] != "t"]
+    assert sorted(int(r[0]) for r in obd) == list(range(40)) and all(r[4] == 'a"b,\nc' and len(r) == 9 for r in obd)
+    assert found["obd.csv"][0][0][:3] == ["t", "pid", "value"]
+    assert found["marker.csv"] == [[["t", "text"], ["5", "hi, you"]]] and found["we_ird.csv"] == [[["t", "data"], ["6", '{"b":1}']]] and found["_.csv"] == [[["t", "data"], ["7", ""]]]
+    (head, row), = found["adapter.csv"]
+    got = dict(zip(head, row))
+    assert (got["name"], got["gattWriteType"], got["gattMaxWriteLength"], got["pids"], got["multiPID"], got["rpmEvery"]) == ("n", "w", "20", "12;13", "true", "")
+
+
+def test_manifests_of_odd_text(spark):
+    from wayloom.sources import manifest as M
+
+    top = {"schema": 2, "generated": "g", "license": "l", "licenseUrl": "u", "attribution": "a"}
+    files = [("null", None), ("empty", ""), ("none", json.dumps(top | {"packs": []})), ("mixed", json.dumps(top | {"schema": 2.0, "packs": [None, [], {"name": "x"}]})), ("float", json.dumps(top | {"schema": 2.5, "packs": []}))]
+    f, e = M.read(spark.createDataFrame([(n, "h", v) for n, v in files], "file string, host string, value string"))
+    assert {r["file"]: r["failure"] for r in f.collect()} == {"null": "notJSON", "empty": "notJSON", "none": None, "mixed": None, "float": "mistypedField:schema"}
+    assert [(r["idx"], r["name"], r["reason"]) for r in e.orderBy("idx").collect()] == [(0, None, "notAnObject"), (1, None, "notAnObject"), (2, "x", "missingField:kind")]
+
+
+def test_opl_lines_with_problems(spark):
+    from wayloom.sources import osm as Q
+
+    lines = ["w1 Nn1", "w2 N", "w Nn1", "w3 T Nn1x1.5y2,n2xy,n3", "w4 Nn1x400000y2", "w5 Ta=%61% Nn1", "w6 Ta=%% Nn1", "n7 bad", "w8 Nn1x1y2\r"]
+    got = {r["n"]: r["message"] for r in Q.opl_problems(spark.createDataFrame(list(enumerate(lines)), "n int, value string"), "n").collect()}
+    assert got == {2: "bad way id", 4: "node 1: bad location", 6: "bad % escape"}
