@@ -260,3 +260,29 @@ def test_scopes_and_release(spark):
         t.join()
         assert mine.count() == 7
     assert there() == before
+
+
+def test_every_passage_is_near_the_span_it_names(spark):
+    """Overlapping near copies of a passage, shared lines and exact copies: each row's own span and its partner's reach the similarity."""
+    import numpy as np
+
+    from wayloom.llm import passages
+
+    rng = np.random.default_rng(21)
+    prose = lambda n: [f"w{k}" for k in rng.integers(0, 9000, n)]
+    base, line = prose(120), "this line stands in every document of the group".split()
+    rows = []
+    for k in range(24):
+        own = list(base[(k % 4) * 10 : 80 + (k % 5) * 10])
+        for at in rng.choice(len(own), k % 4, replace=False):
+            own[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join([*prose(40 + k), *line, *own, *(line if k % 3 else []), *prose(50)])))
+    rows += [(100, rows[3][1]), (101, rows[3][1].upper())]
+    text = {k: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for k, t in rows}
+    sets = lambda k, a, n: {tuple(text[k][i : i + 5]) for i in range(a, a + n - 4)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"] for r in got} >= {*range(0, 24, 4), 3, 100, 101}  # unedited passages and copies
+    for r in got:
+        x, y = sets(r["id"], r["start_word"], r["n_words"]), sets(r["partner"], r["partner_start"], r["partner_words"])
+        assert len(x & y) * 100 >= len(x | y) * 80 and min(r["n_words"], r["partner_words"]) >= 50
+        assert r["extent_start"] <= r["start_word"] and r["start_word"] + r["n_words"] <= r["extent_start"] + r["extent_words"] <= len(text[r["id"]])
