@@ -150,3 +150,34 @@ def spread_picks(candidates: DataFrame, o: Options = Options()) -> DataFrame:
     rounds = F.sequence(F.lit(0), F.lit(len(CONTEXTS) * o.picks - 1))
     picks = F.aggregate(rounds, F.array().cast(kind), serve)
     return c.select("session", F.posexplode(F.array_sort(picks)).alias("place", "p")).select("session", "p.t", "p.context", "place")
+
+
+def window_dynamics(fixes: DataFrame, speeds: DataFrame, rates: DataFrame, key: str = "session", unit: int = SECOND, hold: float = 2.0, gap: float = 1.0) -> DataFrame:
+    """(key, path_m, driven_m, speed_gap_kmh, course_change, gyro_turn): whether a window's fixes move as its vehicle did.
+
+    ``fixes``: t, line, lat, lon, speed (m/s), course (both negative where invalid); ``speeds``: t, mps, one per time; ``rates``: t, rad_s, one per time. The path is that of
+    the fixes; the distance driven holds each speed until the next one, ``hold`` units at most, within the window; the gap is the median of the
+    differences to the nearest speed within ``gap``; the course's changes and the turn by the gyroscope (clockwise) are from the first fix with a course to the last."""
+    from . import sequence as Q
+
+    w = Window.partitionBy(key).orderBy("t", "line")
+    east, north = G.enu("lat", "lon", F.lag("lat").over(w), F.lag("lon").over(w))
+    f = fixes.withColumns({"e": east, "n": north})
+    span = f.groupBy(key).agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.coalesce(F.sum(F.sqrt(F.col("e") * F.col("e") + F.col("n") * F.col("n"))), F.lit(0.0)).alias("path_m"))
+    held = speeds.withColumn("next", F.lead("t").over(Window.partitionBy(key).orderBy("t"))).join(span.where("stop > start"), key)
+    first = F.greatest("start", "t")
+    end = F.least("stop", F.coalesce("next", "stop"), F.col("t") + int(hold * unit))
+    driven = held.where(F.col("t") >= F.col("start") - int(hold * unit)).where("t <= stop").groupBy(key).agg(F.sum(F.col("mps") * F.greatest(end - first, F.lit(0)) / unit).alias("driven_m"))
+    near = align.as_of(fixes.where("speed >= 0").select(key, "t", "speed"), speeds, [key], "t", "mps", forward=True)
+    _, mps = align.nearest(near, "t", int(gap * unit))
+    off = near.withColumn("d", F.abs(F.col("speed") - mps) * 3.6).where("d is not null").groupBy(key).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("speed_gap_kmh"))
+    coursed = fixes.where("course >= 0").withColumn("d", Q.wrapped_change(F.col("course"), F.lag("course").over(w)))
+    turns = coursed.groupBy(key).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.sum("d").alias("course_change")).where("b > a")
+    inside = rates.join(turns.select(key, "a", "b"), key).where(F.col("t").between(F.col("a"), F.col("b")))
+    by = Window.partitionBy(key).orderBy("t")
+    piece = (F.col("rad_s") + F.lag("rad_s").over(by)) / 2 * (F.col("t") - F.lag("t").over(by)) / unit
+    gyro = inside.withColumn("y", piece).groupBy(key).agg((-F.degrees(F.sum("y"))).alias("gyro_turn"))
+    out = span.select(key, "path_m")
+    for more in (driven, off, turns.select(key, "course_change"), gyro):
+        out = out.join(more, key, "left")
+    return out

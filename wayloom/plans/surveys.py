@@ -92,3 +92,26 @@ def pin_picks(spark, sf):
     """Contexts follow the hour, so that each has candidates."""
     turn = F.element_at(F.array(*map(F.lit, S.CONTEXTS)), (F.floor(F.col("t") / HOUR) % 3 + 1).cast("int"))
     return S.spread_picks(_candidates(spark, sf).withColumn("context", turn), OPTIONS)
+
+
+@query("window_dynamics", f"""
+WITH f AS (SELECT session, t, line_no, lat, lon, speed, course FROM @fix ), sp AS (SELECT session, t, max(kmh) / 3.6 AS mps FROM @speed GROUP BY session, t), ry AS (SELECT session, t, max(k - 50) / 1e3 AS r FROM @ev WHERE kind = 'signup' GROUP BY session, t),
+g AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS o FROM f WINDOW w AS (PARTITION BY session ORDER BY t, line_no)),
+h AS (SELECT *, sqrt(pow(radians(lon - o) * 6378137.0 / sqrt(1 - 6.69437999014e-3 * pow(sin(radians(lat)), 2)) * cos(radians(lat)), 2) + pow(radians(lat - a) * 6378137.0 * (1 - 6.69437999014e-3) / pow(1 - 6.69437999014e-3 * pow(sin(radians(a)), 2), 1.5), 2)) AS leg FROM g),
+s AS (SELECT session, min(t) AS t0, max(t) AS t1, coalesce(sum(leg), 0) AS path FROM h GROUP BY session),
+d AS (SELECT session, sum(mps * greatest(0, least(t1, coalesce(nx, t1), t + 24 * {HOUR}) - greatest(t0, t)) / {HOUR}) AS driven FROM (SELECT *, lead(t) OVER (PARTITION BY session ORDER BY t) AS nx FROM sp) JOIN s USING (session) WHERE t1 > t0 AND t >= t0 - 24 * {HOUR} AND t <= t1 GROUP BY session),
+b AS (SELECT f.session, f.t, f.speed, x.t AS ta, x.mps AS va, y.t AS tb, y.mps AS vb FROM f ASOF LEFT JOIN sp x ON f.session = x.session AND f.t >= x.t ASOF LEFT JOIN sp y ON f.session = y.session AND f.t < y.t WHERE f.speed >= 0),
+q AS (SELECT session, quantile_disc(abs(speed - v) * 3.6, 0.5) AS gap FROM (SELECT *, CASE WHEN ta IS NOT NULL AND (tb IS NULL OR t - ta <= tb - t) THEN CASE WHEN t - ta <= 12 * {HOUR} THEN va END WHEN tb - t <= 12 * {HOUR} THEN vb END AS v FROM b) WHERE v IS NOT NULL GROUP BY session),
+c AS (SELECT *, course - lag(course) OVER (PARTITION BY session ORDER BY t, line_no) AS dc FROM f WHERE course >= 0),
+u AS (SELECT session, min(t) AS a, max(t) AS b, sum(dc - 360 * round(dc / 360)) AS turn FROM c GROUP BY session HAVING max(t) > min(t)),
+y AS (SELECT session, -degrees(sum((r + pr) / 2 * (t - pt) / {HOUR})) AS gyro FROM (SELECT ry.session, r, t, lag(r) OVER w AS pr, lag(t) OVER w AS pt FROM ry JOIN u ON ry.session = u.session AND ry.t BETWEEN a AND b WINDOW w AS (PARTITION BY ry.session ORDER BY t)) GROUP BY session)
+SELECT session, round(path, 4) AS path_m, round(driven, 4) AS driven_m, round(gap, 6) AS speed_gap_kmh, round(turn, 6) AS course_change, round(gyro, 4) AS gyro_turn FROM s LEFT JOIN d USING (session) LEFT JOIN q USING (session) LEFT JOIN u USING (session) LEFT JOIN y USING (session)""")
+def window_dynamics(spark, sf):
+    """The whole session as one window."""
+    from .base import speeds
+
+    f = fixes(spark, sf).withColumnRenamed("line_no", "line")
+    sp = speeds(spark, sf).groupBy("session", "t").agg((F.max("kmh") / 3.6).alias("mps"))
+    ry = events(spark, sf).where("kind = 'signup'").groupBy("session", "t").agg((F.max(F.col("k") - 50) / 1e3).alias("rad_s"))
+    d = S.window_dynamics(f, sp, ry, unit=HOUR, hold=24.0, gap=12.0)
+    return d.select("session", F.round("path_m", 4).alias("path_m"), F.round("driven_m", 4).alias("driven_m"), F.round("speed_gap_kmh", 6).alias("speed_gap_kmh"), F.round("course_change", 6).alias("course_change"), F.round("gyro_turn", 4).alias("gyro_turn"))
