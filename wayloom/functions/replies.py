@@ -45,16 +45,20 @@ def data_lines(raw: Column) -> Column:
 
 def _frame(line: Column, pos: Column) -> Column:
     """A line's header (null where it can't be told) and frame: its kind, low digit, bytes, declared length and rest."""
-    digits = _bare(line)
-    size = F.when(F.length(digits) % 2 == 0, 8).otherwise(3)
-    known = _is_hex(digits) & (F.length(digits) >= size + 2)
-    f = F.upper(F.substr(digits, size + 1))
-    return F.struct(
-        pos.cast("int").alias("pos"), line.alias("line"), _is_hex(digits).alias("hex"),
-        F.when(known, F.substr(digits, F.lit(1), size)).alias("header"),
-        F.when(known, _number(F.substring(f, 1, 1))).alias("kind"), F.when(known, _number(F.substring(f, 2, 1))).alias("low"),
-        F.when(known, (F.length(f) / 2).cast("int")).alias("n"), F.when(known, _number(F.substring(f, 2, 3))).alias("long"), F.when(known, f).alias("f"),
-    )
+    def parts(x: Column) -> Column:  # x: the digits, whether they are hex
+        size = F.when(F.length(x.d) % 2 == 0, 8).otherwise(3)
+        known = x.hex & (F.length(x.d) >= size + 2)
+        head, f = F.when(known, F.substr(x.d, F.lit(1), size)), F.when(known, F.upper(F.substr(x.d, size + 1)))
+        return F.struct(x.hex.alias("hex"), head.alias("header"), f.alias("f"))
+
+    def frame(x: Column) -> Column:
+        return F.struct(
+            pos.cast("int").alias("pos"), line.alias("line"), x.hex.alias("hex"), x.header.alias("header"), _number(F.substring(x.f, 1, 1)).alias("kind"), _number(F.substring(x.f, 2, 1)).alias("low"),
+            (F.length(x.f) / 2).cast("int").alias("n"), _number(F.substring(x.f, 2, 3)).alias("long"), x.f.alias("f"),
+        )
+
+    digits = let(_bare(line), lambda d: F.struct(d.alias("d"), _is_hex(d).alias("hex")))
+    return let(let(digits, parts), frame)
 
 
 def _none(what: str) -> Column:
@@ -64,27 +68,28 @@ def _none(what: str) -> Column:
 def _step(s: Column, x: Column) -> Column:
     """One line of a sender: a whole message (0), a first (1) or a following part (2) of a long one, else a fault."""
     malformed = F.when(s.broken, True).when(x.kind == 0, ~x.low.between(1, 7) | s.open).when(x.kind == 1, (x.n < 2) | s.open | (x.long <= 7)).when(x.kind == 2, ~s.open | (x.low != s.next)).otherwise(True)
-    short = ~malformed & (x.kind == 0) & (x.n - 1 < x.low)
-    good = ~malformed & ~short
-    # bytes that the line adds to its message, which begins at ``at``
-    skip = F.when(x.kind == 1, 5).otherwise(3)
-    most = F.when(x.kind == 0, x.low).when(x.kind == 1, x.long).otherwise(s.declared - s.have)
-    part = F.substr(x.f, skip, 2 * F.greatest(most, F.lit(0)))
-    at = F.when(x.kind == 2, s.first).otherwise(x.pos)
-    have = F.when(x.kind == 2, s.have).otherwise(0) + F.least(most, x.n - F.when(x.kind == 1, 2).otherwise(1))
-    opened, more = good & (x.kind == 1), good & (x.kind == 2)
-    fault = F.struct(x.pos.alias("pos"), x.line.alias("line"), F.when(short, "truncatedFrame").otherwise("malformedFrame").alias("error"), F.when(short, x.low).alias("expected"), F.when(short, x.n - 1).alias("actual"))
-    return F.struct(
-        (~good).alias("broken"),
-        F.when(opened, True).when(more, have < s.declared).otherwise(s.open & good).alias("open"),
-        F.when(opened, x.long).otherwise(s.declared).alias("declared"),
-        F.when(opened | more, have).otherwise(s.have).alias("have"),
-        F.when(opened, 1).when(more, (s.next + 1) % 16).otherwise(s.next).alias("next"),
-        F.when(opened, x.pos).otherwise(s.first).alias("first"),
-        F.when(opened, x.line).otherwise(s.line).alias("line"),
-        F.when(good, F.concat(s.parts, F.array(F.struct(at.alias("at"), part.alias("text"))))).otherwise(s.parts).alias("parts"),
-        F.when(good, s.faults).otherwise(F.concat(s.faults, F.array(fault))).alias("faults"),
-    ).cast(_STATE)
+    verdict = F.when(malformed, "malformedFrame").when((x.kind == 0) & (x.n - 1 < x.low), "truncatedFrame")
+
+    def good() -> Column:
+        # bytes that the line adds to its message, which begins at ``at``
+        most = F.when(x.kind == 0, x.low).when(x.kind == 1, x.long).otherwise(s.declared - s.have)
+        part = F.substr(x.f, F.when(x.kind == 1, 5).otherwise(3), 2 * F.greatest(most, F.lit(0)))
+        at = F.when(x.kind == 2, s.first).otherwise(x.pos)
+        have = F.when(x.kind == 2, s.have).otherwise(0) + F.least(most, x.n - F.when(x.kind == 1, 2).otherwise(1))
+        opened, long = x.kind == 1, x.kind > 0
+        return F.struct(
+            F.lit(False).alias("broken"), (opened | ((x.kind == 2) & (have < s.declared))).alias("open"), F.when(opened, x.long).otherwise(s.declared).alias("declared"),
+            F.when(long, have).otherwise(s.have).alias("have"), F.when(opened, 1).when(long, (s.next + 1) % 16).otherwise(s.next).alias("next"),
+            F.when(opened, x.pos).otherwise(s.first).alias("first"), F.when(opened, x.line).otherwise(s.line).alias("line"),
+            F.concat(s.parts, F.array(F.struct(at.alias("at"), part.alias("text")))).alias("parts"), s.faults.alias("faults"),
+        ).cast(_STATE)
+
+    def bad(why: Column) -> Column:
+        short = why == "truncatedFrame"
+        fault = F.struct(x.pos.alias("pos"), x.line.alias("line"), why.alias("error"), F.when(short, x.low).alias("expected"), F.when(short, x.n - 1).alias("actual"))
+        return F.struct(F.lit(True).alias("broken"), F.lit(False).alias("open"), *(s[c].alias(c) for c in ("declared", "have", "next", "first", "line", "parts")), F.concat(s.faults, F.array(fault)).alias("faults")).cast(_STATE)
+
+    return let(verdict, lambda why: F.when(why.isNull(), good()).otherwise(bad(why)))
 
 
 def _sender(header: Column, lines: Column) -> Column:
@@ -185,12 +190,13 @@ def scan_replies(raw: Column, headers: bool = True) -> Column:
     first (their error; they drop nothing), then lines in order, then transfers that never ended."""
 
     def of(lines: Column) -> Column:
-        marked = F.filter(lines, lambda x: T.status_code(x).isNotNull())
-        status = F.transform(marked, lambda x: F.struct(F.lit(None).cast("string").alias("header"), x.alias("line"), T.status_code(x).alias("error"), F.lit(None).cast("int").alias("expected"), F.lit(None).cast("int").alias("actual")).cast(_FAULT))
-        data = F.filter(lines, lambda x: T.status_code(x).isNull())
+        marked = F.filter(lines, lambda x: x.code.isNotNull())
+        status = F.transform(marked, lambda x: F.struct(F.lit(None).cast("string").alias("header"), x.line.alias("line"), x.code.alias("error"), F.lit(None).cast("int").alias("expected"), F.lit(None).cast("int").alias("actual")).cast(_FAULT))
+        data = F.transform(F.filter(lines, lambda x: x.code.isNull()), lambda x: x.line)
         return let(data, lambda d: _headed(d, status) if headers else _bare_blocks(d, status))
 
-    return F.when(raw.isNotNull(), let(data_lines(raw), of))
+    coded = F.transform(data_lines(raw), lambda x: F.struct(x.alias("line"), T.status_code(x).alias("code")))
+    return F.when(raw.isNotNull(), let(coded, of))
 
 
 def reply_error(scan: Column) -> Column:
