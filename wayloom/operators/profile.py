@@ -104,6 +104,7 @@ def health_warnings(recordings: DataFrame, kinds: DataFrame, priors: DataFrame,
     version, negative_latency, errors. ``kinds``: kind, place, count, gaps (null where none are looked for), longest_ms, out_of_order. ``priors``: place,
     after_first_input, invalid_field. Missing rows of the last two are none; nulls warn of nothing."""
     s = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    # fixed values: the texts of the warnings and their order
     odd = (F.col("out_of_order") > F.col("count") * OUT_OF_ORDER_SHARE) & (F.col("out_of_order") > 0) & ~F.col("kind").isin(*OUT_OF_ORDER_KINDS)
     own = warnings(kinds, [
         (F.col("gaps") > 0, s(F.col("kind"), ": ", F.col("gaps"), f" gap(s) over {GAP_MS} ms, longest ", F.format_string("%.1f", F.bround(F.coalesce("longest_ms", F.lit(0.0)), 1)), " ms")),
