@@ -150,26 +150,28 @@ def _points(spark, sf):
     return f.select("line_no", (((F.col("lon") - 30.0) * 1e7) * _K_LON * 4).alias("px"), (((F.col("lat") - 50.0) * 1e7) * _K_LAT * 2).alias("py"), "course")
 
 
+def _at_places(spark, sf, find):
+    """``find`` of points and an index, once for each place."""
+    return R.at_places(_points(spark, sf).drop("course"), "line_no", lambda p: find(p, R.grid_index(_segs(spark, sf), _SIZE, _RADIUS, p)))
+
+
 @query("nearest_segment", f"""
 WITH {_SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY round(distance, 3), way_id, seg) AS n FROM d WHERE distance <= {_RADIUS})
 SELECT line_no, way_id, seg, round(distance, 3) AS distance FROM k WHERE n = 1""")
 def nearest_segment(spark, sf):
-    index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    return R.nearest_segment(_points(spark, sf), index, "line_no", _SIZE, _RADIUS)
+    return _at_places(spark, sf, lambda p, index: R.nearest_segment(p, index, "line_no", _SIZE, _RADIUS))
 
 
 @query("candidates_in_radius", f"""
 WITH {_SEG} SELECT line_no, count(*) AS n, round(min(distance), 4) AS near FROM d WHERE distance <= 100 GROUP BY line_no""")
 def candidates_in_radius(spark, sf):
-    index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    c = R.candidates(_points(spark, sf), index, _SIZE, 100.0)
-    return c.groupBy("line_no").agg(F.count("*").alias("n"), F.round(F.min("distance"), 4).alias("near"))
+    counted = lambda c: c.groupBy("line_no").agg(F.count("*").alias("n"), F.round(F.min("distance"), 4).alias("near"))
+    return _at_places(spark, sf, lambda p, index: counted(R.candidates(p, index, _SIZE, 100.0)))
 
 
 @query("road_semi_join", f"WITH {_SEG} SELECT DISTINCT line_no FROM d WHERE distance <= 60")
 def road_semi_join(spark, sf):
-    index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    return R.near_any(_points(spark, sf), index, _SIZE, 60.0).select("line_no")
+    return _at_places(spark, sf, lambda p, index: R.near_any(p, index, _SIZE, 60.0).select("line_no"))
 
 
 @query("truth_match", f"""
@@ -178,9 +180,9 @@ b AS (SELECT *, first_value(way_id) OVER (PARTITION BY line_no ORDER BY log_l DE
 m AS (SELECT line_no, any_value(way) AS way_id, max(log_l) + 0.0 AS best, max(log_l) FILTER (way_id <> way) + 0.0 AS other FROM b GROUP BY line_no)
 SELECT *, CASE WHEN other IS NULL OR best - other >= ln(2.0) THEN 'matched' ELSE 'ambiguous' END AS verdict FROM m""")
 def truth_match(spark, sf):
-    index = R.grid_index(_segs(spark, sf), _SIZE, _RADIUS)
-    c = R.candidates(_points(spark, sf), index, _SIZE, _RADIUS).withColumn("log_l", F.round(-0.5 * F.pow(F.col("distance") / 20.0, 2), 6) + 0.0)
-    return R.truth_match(c, "line_no").select("line_no", "way_id", "best", "other", "verdict")
+    log_l = F.round(-0.5 * F.pow(F.col("distance") / 20.0, 2), 6) + 0.0
+    match = lambda p, index: R.truth_match(R.candidates(p, index, _SIZE, _RADIUS).withColumn("log_l", log_l), "line_no")
+    return _at_places(spark, sf, match).select("line_no", "way_id", "best", "other", "verdict")
 
 
 @query("shadowed_segments", """
