@@ -50,8 +50,15 @@ def road_context(points: DataFrame, index: DataFrame, key: str, size: float) ->
     """(key, junction, parallel, context) of points (key, px, py, course, speed) near roads; no row where none is near.
 
     The direction is the course of a moving point, else that of the nearest road. A junction is a road within its radius that crosses
-    the direction, a parallel a road beside the nearest one that keeps it. The index's radius must be the largest distance looked at."""
-    c = R.candidates(points, index, size, PARALLEL_MAX_M + REACH_M)
+    the direction, a parallel a road beside the nearest one that keeps it. The index's radius must be the largest distance looked at.
+    Points of one place and direction are looked at once."""
+    moving = F.col("course").isNotNull() & (F.col("speed") >= MOVING)
+    places = points.select(key, "px", "py", F.when(moving, F.col("course")).alias("course"))
+    return R.at_places(places, key, lambda p: _context(R.candidates(p, index, size, PARALLEL_MAX_M + REACH_M), key))
+
+
+def _context(c: DataFrame, key: str) -> DataFrame:
+    """The context from candidates; the course is null where a point doesn't move."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     length = F.sqrt(dx * dx + dy * dy)
     along = (F.col("px") - F.col("ax")) * F.col("ux") + (F.col("py") - F.col("ay")) * F.col("uy")
@@ -59,7 +66,7 @@ def road_context(points: DataFrame, index: DataFrame, key: str, size: float) ->
     c = c.withColumn("interior", (along > 0) & (along < F.col("len")))
     near = F.min(F.struct("distance", "way_id", "seg", "ux", "uy")).over(Window.partitionBy(key))
     c = c.withColumn("near", near)
-    moving = F.col("course").isNotNull() & (F.col("speed") >= MOVING)
+    moving = F.col("course").isNotNull()
     east, north = F.when(moving, F.sin(F.radians("course"))).otherwise(F.col("near.ux")), F.when(moving, F.cos(F.radians("course"))).otherwise(F.col("near.uy"))
     c = c.withColumn("cos", F.abs(F.col("ux") * east + F.col("uy") * north))
     d, first = F.col("distance"), F.col("near.distance")

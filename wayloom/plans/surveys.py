@@ -43,7 +43,7 @@ g AS (SELECT i, bool_or(dist <= 25 AND c < cos(radians(45))) AS junction, bool_o
 SELECT i, junction, parallel, CASE WHEN junction THEN 'junction' WHEN parallel THEN 'parallel' ELSE 'straight' END AS context FROM g""")
 def road_contexts(spark, sf):
     f = fixes(spark, sf).select(F.col("line_no").alias("i"), F.when(F.col("course") >= 0, F.col("course")).alias("course"), "speed")
-    index = R.grid_index(_streets(spark, sf), _SIZE, S.PARALLEL_MAX_M + S.REACH_M)
+    index = R.grid_index(R.shapes(_streets(spark, sf)), _SIZE, S.PARALLEL_MAX_M + S.REACH_M)
     return S.road_context(_tracks(spark, sf).join(f, "i"), index, "i", _SIZE)
 
 
