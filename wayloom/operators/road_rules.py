@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import shuffled
+
 # fixed values: classes, known flags (bits) and levels of an edge, the largest offset
 CLASSES, FLAGS, LEVELS, LAST_OFFSET = range(1, 16), 0x3F, (-5, 5), 2**32 - 1
 
@@ -29,35 +31,35 @@ def violations(nodes: DataFrame, edges: DataFrame, points: DataFrame, adjacency:
     broken(edges, "offset", "edge", (F.col("offset") < 0) | (F.col("offset") + F.col("points") > LAST_OFFSET))
     # order and contiguity: each edge beside the one before it
     before = edges.select((edge + 1).alias("edge"), F.struct("way_id", "offset").alias("key0"), (F.col("first_point") + F.col("points")).alias("next"))
-    pair = edges.join(before, "edge", "left")
+    pair = edges.join(shuffled(before), "edge", "left")
     first = edge == 0
     broken(pair, "order", "edge", ~first & ~(F.col("key0") < F.struct("way_id", "offset")))
     broken(pair, "contiguous", "edge", (F.col("points") < 2) | (F.col("first_point") != F.when(first, 0).otherwise(F.col("next"))))
     # ends: the nodes are there, and lie where the first and last point do
     place = lambda c: F.struct(f"{c}.lat_e7", f"{c}.lon_e7")
     ends = edges.select("edge", F.explode(F.array(F.struct(F.col("from_node").alias("node"), F.col("first_point").alias("point")), F.struct(F.col("to_node").alias("node"), (F.col("first_point") + F.col("points") - 1).alias("point")))).alias("e")).select("edge", "e.*")
-    met = ends.join(nodes.select("node", F.struct("lat_e7", "lon_e7").alias("n")), "node", "left").join(points.select("point", F.struct("lat_e7", "lon_e7").alias("p")), "point", "left")
+    met = ends.join(shuffled(nodes.select("node", F.struct("lat_e7", "lon_e7").alias("n"))), "node", "left").join(shuffled(points.select("point", F.struct("lat_e7", "lon_e7").alias("p"))), "point", "left")
     broken(met.where("n is null").select("edge").distinct(), "node", "edge", F.lit(True))
     broken(met.where("n is not null").groupBy("edge").agg(F.max(F.col("p").isNull() | (place("n") != place("p"))).alias("bad")), "ends", "edge", F.col("bad"))
     # points: marked with the edge that has them, none outside, no two in a row at one place
     span = edges.select(F.col("edge").alias("of"), F.explode(F.sequence("first_point", F.col("first_point") + F.greatest(F.col("points"), F.lit(1)) - 1)).alias("point"))
-    marked = points.join(span.groupBy("point").agg(F.min("of").alias("of"), F.count("*").alias("n")), "point", "left")
+    marked = points.join(shuffled(span.groupBy("point").agg(F.min("of").alias("of"), F.count("*").alias("n"))), "point", "left")
     broken(marked, "point_edge", "point", (F.col("of") != edge) | (F.col("n") != 1))
     w = Window.partitionBy("edge").orderBy("point")
     step = points.withColumn("same", (F.lead("lat_e7").over(w) == F.col("lat_e7")) & (F.lead("lon_e7").over(w) == F.col("lon_e7")))
     broken(step, "zero_length", "point", F.coalesce(F.col("same"), F.lit(False)))
     # adjacency: of edges that are there and end at the node, ascending, and all of them
     incident = edges.select("edge", F.explode(F.array_distinct(F.array("from_node", "to_node"))).alias("node"))
-    listed = adjacency.join(incident.withColumn("there", F.lit(True)), ["edge", "node"], "left")
+    listed = adjacency.join(shuffled(incident.withColumn("there", F.lit(True))), ["edge", "node"], "left")
     broken(listed.groupBy("node").agg(F.max(F.col("there").isNull()).alias("bad")), "incident", "node", F.col("bad"))
     w = Window.partitionBy("node").orderBy("place")
     broken(adjacency.withColumn("p", F.lag("edge").over(w)).groupBy("node").agg(F.max(edge <= F.col("p")).alias("bad")), "adjacency_order", "node", F.coalesce(F.col("bad"), F.lit(False)))
-    broken(incident.join(adjacency, ["edge", "node"], "left_anti").select("edge").distinct(), "both_ends", "edge", F.lit(True))
+    broken(incident.join(shuffled(adjacency), ["edge", "node"], "left_anti").select("edge").distinct(), "both_ends", "edge", F.lit(True))
     # cells: entries ascend and begin a segment
     w = Window.partitionBy("cell").orderBy("place")
     broken(cells.withColumn("p", F.lag("point").over(w)).groupBy("cell").agg(F.max(F.col("point") <= F.col("p")).alias("bad")), "cell_order", "cell", F.coalesce(F.col("bad"), F.lit(False)))
-    starts = points.select("point", F.col("edge").alias("e0")).join(points.select((F.col("point") - 1).alias("point"), F.col("edge").alias("e1")), "point").where("e0 = e1").select("point", F.lit(True).alias("there"))
-    broken(cells.join(starts, "point", "left").groupBy("cell").agg(F.max(F.col("there").isNull()).alias("bad")), "segment_start", "cell", F.col("bad"))
+    starts = points.select("point", F.col("edge").alias("e0")).join(shuffled(points.select((F.col("point") - 1).alias("point"), F.col("edge").alias("e1"))), "point").where("e0 = e1").select("point", F.lit(True).alias("there"))
+    broken(cells.join(shuffled(starts), "point", "left").groupBy("cell").agg(F.max(F.col("there").isNull()).alias("bad")), "segment_start", "cell", F.col("bad"))
     return reduce(DataFrame.unionByName, out)
 
 
