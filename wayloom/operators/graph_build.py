@@ -9,6 +9,7 @@ that comes twice is an error (``twice`` names them); an empty table gives no edg
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -42,12 +43,13 @@ def _runs(nodes: DataFrame) -> DataFrame:
     same = (F.lag("node_id").over(w) == F.col("node_id")) | ((F.lag("lat_e7").over(w) == F.col("lat_e7")) & (F.lag("lon_e7").over(w) == F.col("lon_e7")))
     n = n.withColumn("new", F.coalesce(~same, F.lit(True)).cast("int"))
     n = n.withColumn("run", F.sum("new").over(w) - 1)
-    return n.withColumn("head", F.first("node_id").over(Window.partitionBy("way_id", "run").orderBy("at")))
+    return n.withColumn("head", F.last(F.when(F.col("new") == 1, F.col("node_id")), ignorenulls=True).over(w))  # in the same order: no second sort
 
 
-def build(ways: DataFrame, way_nodes: DataFrame, classes: tuple[str, ...] = REGION) -> Built:
+def build(ways: DataFrame, way_nodes: DataFrame, classes: tuple[str, ...] = REGION, name: Callable[[Column], Column] | None = None) -> Built:
     """Decides on ways, turns those against their nodes' order, drops repeats, merges stacked nodes, and cuts ways at nodes that are used
-    more than once, at their ends and beside nodes without a location."""
+    more than once, at their ends and beside nodes without a location. ``name`` gives the node that an id stands for, where several ids do: merged
+    nodes take it, and so do all other ids that stand for a merged one."""
     absent = F.lit(None).cast("string")
     tags = ways.select("way_id", *(F.col(c) if c in ways.columns else absent.alias(c) for c in ("highway", "oneway", "junction", "area", "service")))
     reason = F.when(~F.coalesce(F.col("highway").isin(*classes), F.lit(False)), "class").when(F.col("area") == "yes", "area").when(F.col("service") == "parking_aisle", "aisle")
@@ -66,7 +68,13 @@ def build(ways: DataFrame, way_nodes: DataFrame, classes: tuple[str, ...] = REGI
     pairs = pairs.select("way_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("head").alias("node_id")), F.struct(F.lit(1).alias("pos"), F.col("node_id").alias("node_id")))).alias("p"))
     merged = merged_nodes(pairs.select("way_id", "p.pos", "p.node_id", F.lit(0).alias("lat_e7"), F.lit(0).alias("lon_e7")))
     kept = runs.where("new = 1").join(decided.where("reason is null").select("way_id"), "way_id")
-    kept = kept.join(merged, "node_id", "left").select("way_id", F.col("run").alias("pos"), F.coalesce("merged", "node_id").alias("node_id"), "lat_e7", "lon_e7")
+    if name is None:
+        kept = kept.join(merged, "node_id", "left")
+    else:
+        merged = merged.withColumn("merged", name(F.col("merged")))
+        named = merged.select("merged").distinct()
+        kept = kept.withColumn("__n", name(F.col("node_id"))).join(named, F.col("__n") == F.col("merged"), "left")
+    kept = kept.select("way_id", F.col("run").alias("pos"), F.coalesce("merged", "node_id").alias("node_id"), "lat_e7", "lon_e7")
     kept = cut(kept)
     return Built(decided, kept, _edges(kept), repeated, merged)
 
@@ -81,9 +89,9 @@ def _edges(nodes: DataFrame) -> DataFrame:
     inner = F.lag("pos").over(piece).isNotNull() & F.lead("pos").over(piece).isNotNull()
     n = n.withColumn("cut", (inner & (F.col("uses") > 1)).cast("int"))
     n = n.withColumns({"part": F.coalesce(F.sum("cut").over(piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "step": G.distance_e7(F.lag("lat_e7").over(piece), F.lag("lon_e7").over(piece), F.col("lat_e7"), F.col("lon_e7"))})
-    both = n.withColumn("part", F.explode(F.when(F.col("cut") == 1, F.array(F.col("part"), F.col("part") + 1)).otherwise(F.array("part"))))
-    first = F.min("pos").over(Window.partitionBy("way_id", "gap", "part"))
-    both = both.withColumn("inner", F.when(F.col("pos") > first, F.col("step")))
+    # a node where a piece begins has no step in it
+    ends, begins = F.struct("part", F.col("step").alias("inner")), F.struct((F.col("part") + 1).alias("part"), F.lit(None).cast("double").alias("inner"))
+    both = n.select("way_id", "gap", "pos", "node_id", F.explode(F.when(F.col("cut") == 1, F.array(ends, begins)).otherwise(F.array(ends))).alias("e")).select("*", "e.*")
     e = both.groupBy("way_id", "gap", "part").agg(F.min("pos").alias("offset"), F.min_by("node_id", "pos").alias("from_node"), F.max_by("node_id", "pos").alias("to_node"), F.count("*").alias("points"), F.round(10 * F.coalesce(F.sum("inner"), F.lit(0.0))).cast("long").alias("length_dm"))
     return e.where("points > 1").drop("gap", "part")
 
