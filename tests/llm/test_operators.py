@@ -404,6 +404,41 @@ def test_passages_beyond_the_lead(spark):
     assert all(r["class"] == r["id"] // 10 * 10 + 1 for r in got if r["id"] < 1000)
 
 
+def test_passages_of_common_lines(spark):
+    """A passage whose every key is common, in two documents that are neither their keys' first nor next to each other."""
+    rng = np.random.default_rng(41)
+    new = lambda n: prose(rng, n, 100_000)
+    lines = [new(12) for _ in range(5)]
+    rows = [(k, f"{new(60)} {lines[k % 4]} {lines[k % 4 + 1]} {new(60)}") for k in range(1200)]
+    rows += [(k, f"{new(60)} {' '.join(lines)} {new(60)}") for k in (2001, 2002)]
+    got = {r["id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2001, 2002}
+    assert all(r["class"] == 2001 and r["start_word"] <= 60 and r["start_word"] + r["n_words"] >= 120 for r in got.values())
+
+
+def test_blocks_against_brute_force():
+    """Edited copies of a few passages and unlike windows: each window meets every class that it shares a passage with."""
+    rng = np.random.default_rng(43)
+    base = rng.integers(0, 1 << 31, (3, 2 * passages.NEAR + 1)).astype(np.int32)
+    rows = []
+    for k in range(60):
+        s = base[k % 3].copy()
+        for p in rng.choice(len(s), k // 6, replace=False):
+            if abs(int(p) - passages.NEAR) > 3:
+                s[p : p + 5] = rng.integers(0, 1 << 31, len(s[p : p + 5]))
+        rows.append({"id": k, "c": 500, "back": passages.NEAR, "ahead": passages.NEAR, "class": k % 12, "covered": k % 5 == 0, "s": s.tolist()})
+    kind = pa.struct([("id", pa.int64()), ("c", pa.int32()), ("back", pa.int32()), ("ahead", pa.int32()), ("class", pa.int64()), ("covered", pa.bool_()), ("s", pa.list_(pa.int32()))])
+    block = passages.Block(pa.array(rows, kind))
+    got = {(i, rows[j]["class"]) for i, j in passages.compared(block, block)}
+    want, at = set(), passages.NEAR
+    for i, a in enumerate(rows):
+        for b in rows:
+            may = b["covered"] and a["class"] != b["class"] if a["covered"] else a["id"] != b["id"]
+            if may and passages.verified(np.array(a["s"]), np.array(b["s"]), np.array([[0, at, 2 * at] * 2])):
+                want.add((i, b["class"]))
+    assert len(want) > 100 and got == want
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -17,8 +17,11 @@ that share their key with another document are kept, and compared in two rounds
 their square: each with the first document of its key; then windows that no verified span holds well inside (they may
 belong to another near copy, or their passage may go on beyond what the first document has) with their ``NEXT`` next
 ones in an order by a hash of id and key, which differs from key to key. Keys of many windows are cut into chunks of
-``CHUNK`` in that order, so no task holds one. The windows of a pair are joined as intervals and verified on the
-shingles themselves: the aligned windows' Jaccard similarity, or the best run that reaches it, along a diagonal or along
+``CHUNK`` in that order, so no task holds one. What the two rounds leave open is decided exactly (``_rest``): a window
+whose centre is in no verified span meets all windows of its key, and so do windows whose documents are of another class
+than most of their key; only two windows that both have a span and whose documents are linked already are not compared. These
+comparisons are made in blocks of ``BLOCK`` by ``BLOCK`` windows, on the shingles near their centres, and a block returns
+verified pairs only. The windows of a pair are joined as intervals and verified on the shingles themselves: the aligned windows' Jaccard similarity, or the best run that reaches it, along a diagonal or along
 a chain of equal shingles over several diagonals (where words are inserted or deleted).
 
 Results for odd input: null, empty and short texts (fewer words than a passage) have no passage; rows with a
@@ -51,6 +54,9 @@ AROUND = 3
 #: Comparisons of a window in the second round, and windows of a key that are ordered together.
 NEXT = 3
 CHUNK = 512
+#: Windows on either side of a block of the last round, and how far from its centre it looks: the longest partner of a least passage.
+BLOCK = 256
+NEAR = LEAST * 100 // PERCENT
 
 WINDOWS = "key long, id long, c int, back int, ahead int"
 
@@ -367,6 +373,132 @@ def _second_round(shared: DataFrame, found: DataFrame) -> DataFrame:
     return _agreements(near.select(*(F.col(c).alias(f"{c}1") for c in ("id", "c", "back", "ahead")), *(F.col(f"other.{c}").alias(f"{c}2") for c in ("id", "c", "back", "ahead"))))
 
 
+class Block:
+    """Windows on one side of a block: arrays by window, and their shingles near the centre, the i-th from bounds[i] on."""
+
+    FIELDS = ("id", "c", "back", "ahead", "class", "covered")
+
+    def __init__(self, windows: pa.StructArray):
+        self.at = {n: windows.field(n).to_numpy(zero_copy_only=False) for n in self.FIELDS}
+        s = windows.field("s")
+        self.values, self.bounds = s.values.to_numpy(), s.offsets.to_numpy()
+
+    def near(self, i: int) -> np.ndarray:
+        return self.values[self.bounds[i] : self.bounds[i + 1]]
+
+    def centre(self, i: int) -> int:
+        return min(int(self.at["back"][i]), NEAR)
+
+
+def _fits(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a row of ``same`` (places by column) has a stretch with the matches of some passage, and with those of the
+    shorter one of two: of n places (P / (100 + P)) * (n + LEAST) and (P / (100 + P)) * 2n."""
+    n = same.shape[1]
+    if n < LEAST:
+        return (np.zeros(len(same), bool),) * 2
+    sums = np.zeros((len(same), n + 1), np.int32)
+    np.cumsum(same, axis=1, out=sums[:, 1:])
+
+    def most(each: int) -> np.ndarray:  # of matches less what a place costs, over all stretches of LEAST places or more
+        score = sums * (100 + PERCENT) - each * np.arange(n + 1, dtype=np.int32)
+        return (score[:, LEAST:] - np.minimum.accumulate(score[:, : n + 1 - LEAST], axis=1)).max(axis=1)
+
+    return most(PERCENT) >= PERCENT * LEAST, most(2 * PERCENT) >= 0
+
+
+def compared(left: Block, right: Block) -> Iterator[tuple[int, int]]:
+    """(i, j) of windows that hold a passage in common: of each left window the closest right one of each class. What can't hold
+    one is passed over by counts of equal shingles, which never are too small."""
+    few = -(-2 * LEAST * PERCENT // (100 + PERCENT))
+    owner = np.repeat(np.arange(len(right.bounds) - 1), np.diff(right.bounds))
+    values = right.values[right.bounds[0] : right.bounds[-1]]
+    start = NEAR - np.minimum(right.at["back"], NEAR) - (right.bounds[:-1] - right.bounds[0])
+    grid = np.full((len(start), 2 * NEAR + 1), 1 << 40)  # the shingles of all, their centres below each other
+    grid[owner, np.arange(len(values)) + start[owner]] = values
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    values, owner = values[new], owner[new]
+    l, r = left.at, right.at
+    for i in range(len(left.bounds) - 1):
+        may = (r["id"] != l["id"][i]) & (np.minimum(r["back"], l["back"][i]) + np.minimum(r["ahead"], l["ahead"][i]) + 1 >= few)
+        if l["covered"][i]:
+            may &= r["covered"] & (r["class"] != l["class"][i])
+        x, at = left.near(i), left.centre(i)
+        low, high = np.searchsorted(values, x), np.searchsorted(values, x, "right")
+        n = high - low
+        hits = owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        total = np.bincount(hits, minlength=len(may))
+        may &= total >= few
+        rows = np.flatnonzero(may)
+        if not len(rows):
+            continue
+        row = np.full(len(may), -1)
+        row[rows] = np.arange(len(rows))
+        same = np.zeros((len(rows), len(x)), bool)
+        place, kept = np.repeat(np.arange(len(x)), n), may[hits]
+        same[row[hits[kept]], place[kept]] = True
+        longer, shorter = _fits(same)
+        rows, shorter = rows[longer], shorter[longer]
+        also, brief = _fits(np.isin(grid[rows], x))
+        rows = rows[also & shorter | brief]
+        done = set()
+        for j in rows[np.lexsort((r["c"][rows], r["id"][rows], -total[rows]))].tolist():
+            y = right.near(j)
+            if r["class"][j] not in done and verified(x, y, np.array([[0, at, len(x) - 1, 0, right.centre(j), len(y) - 1]])):
+                done.add(r["class"][j])
+                yield i, j
+
+
+def _rest(shared: DataFrame, found: DataFrame, linked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of the windows that both rounds left open, each of them verified near the centres.
+
+    Open is a window whose centre is in no span (keys of few windows have been compared as a whole), and one with a span whose
+    document isn't in the class of most such windows of its key. The former meets all windows of the key, the latter all that
+    have a span and another class."""
+    spans = merged(found).select(F.col("id").alias("i"), "start", "stop")
+    within = (F.col("id") == F.col("i")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("stop"))
+    windows = shared.drop("lead")
+    covered = stored(windows.join(spans, within, "left_semi").select("key", "id", "c").distinct(), "covered")
+    marked = windows.join(covered.withColumn("covered", F.lit(True)), ["key", "id", "c"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    marked = marked.join(linked.select(F.col("node").alias("id"), F.col("component").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    marked = stored(marked, "marked")
+    drop(covered)
+    few = F.col("n") <= NEXT + 2
+    sizes = marked.groupBy("key", "class").agg(F.count_if("covered").alias("size"), F.count_if(~F.col("covered") & ~few).alias("loose"))
+    keys = sizes.groupBy("key").agg(F.max_by("class", F.struct("size", -F.col("class"))).alias("main"), (F.sum("loose") + F.sum("size") - F.max("size")).alias("open")).where("open > 0")
+    marked_ = stored(marked.join(stored(keys, "keys"), "key"), "marked")
+    drop(marked)
+    ids = stored(marked_.select("id").distinct(), "ids")
+    one = F.struct(*Block.FIELDS, "s")
+    back = F.least("back", F.lit(NEAR))
+    near = marked_.join(_sequences(restrict(rows, ids, "id")), "id").withColumn("s", F.slice("s", F.col("c") - back + 1, back + F.least("ahead", F.lit(NEAR)) + 1))
+    part = lambda n: F.pmod(F.xxhash64("id", "key", "c"), F.ceil(F.col(n) / BLOCK))
+    near = near.withColumn("is_open", F.when(F.col("covered"), F.col("class") != F.col("main")).otherwise(~few)).withColumn("chunk", part("n"))
+    near = stored(near.select("key", "n", "open", "chunk", "is_open", one.alias("one"), part("open").alias("part")), "near", "zstd")
+    drop(marked_, ids)
+    right = near.groupBy("key", "chunk").agg(F.collect_list("one").alias("right"))
+    left = near.where("is_open").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+    left = left.groupBy("key", "chunk", "part").agg(F.collect_list("one").alias("left"))
+    names = [f"{c}{x}" for x in "12" for c in ("id", "c", "back", "ahead")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            out = []
+            for k in range(t.num_rows):
+                a, b = (Block(t.column(x).slice(k, 1).flatten()) for x in ("left", "right"))
+                out += [[side.at[c][w] for side, w in ((a, i), (b, j)) for c in ("id", "c", "back", "ahead")] for i, j in compared(a, b)]
+            columns = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n[:2] == "id" else pa.int32()) for n, c in zip(names, columns)], names)
+
+    small_batches(rows.sparkSession, 50)
+    blocks = left.join(right, ["key", "chunk"]).select("left", "right")
+    pairs = stored(blocks.mapInArrow(run, ", ".join(f"{n} {'long' if n[:2] == 'id' else 'int'}" for n in names)), "rest")
+    drop(near)
+    return _agreements(pairs)
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     """(id, rep) of the documents whose text another one has too, A-Z lower-cased; rep is the smallest id of them."""
     digests = stored(rows.select("id", F.unhex(F.sha2(lower_ascii(F.col("text")), 256)).alias("d")), "digests")
@@ -398,6 +530,8 @@ def _passages(rows: DataFrame) -> DataFrame:
     linked = joined_components(None, found, "id", "partner")
     more = _verify(_second_round(shared, found), single)
     linked, found = joined_components(linked, more, "id", "partner"), found.unionByName(more)
+    more = _verify(_rest(shared, found, linked, single), single)
+    linked, found = joined_components(linked, more, "id", "partner"), found.unionByName(more)
     linked = linked.select(F.col("node").alias("rep"), F.col("component").alias("class"))
     size = lambda a, b: (F.col(b) - F.col(a) + WORDS - 1)
     spans = chosen(found).select("id", F.col("start").alias("start_word"), size("start", "stop").alias("n_words"), "partner", "partner_start", size("partner_start", "partner_stop").alias("partner_words"), F.col("low").alias("extent_start"), size("low", "high").alias("extent_words"))
