@@ -32,3 +32,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.schema(P.ESTIMATE).parquet(f"{tmp_path}/out").toPandas().sort_values(["session", "t"])
     want = P.replay(rows).toPandas().sort_values(["session", "t"])
     assert np.allclose(got.to_numpy(), want.to_numpy())
+
+
+def test_tasks_are_not_merged_and_sessions_pass_batches(spark):
+    rows = P.synthetic_drive(spark, 3, 6)
+    want = rows.toPandas().sort_values(["session", "arrival", "line_no"])
+    want = [x for s, g in want.groupby("session") for x in P._run(P.Cloud(s), s, g)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        est = P.replay(rows)
+        assert est.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        got = est.toPandas().sort_values(["session", "t"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.array_equal(got.to_numpy(), np.array(want))
