@@ -439,6 +439,58 @@ def test_blocks_against_brute_force():
     assert len(want) > 100 and got == want
 
 
+def test_windows_of_equal_reach_are_looked_at_once(monkeypatch):
+    """Windows of several functions reach equally far on one diagonal: a pair that fails does so once, not a time each."""
+    rng = np.random.default_rng(47)
+    a = rng.integers(-(1 << 31), 1 << 31, 200)
+    b = a.copy()
+    b[::3] = rng.integers(-(1 << 31), 1 << 31, len(b[::3]))  # enough shingles in common, but no passage
+    b[100:160] = np.roll(b[100:160], 1)
+    looks, chain = [], passages.longest_chain
+    monkeypatch.setattr(passages, "longest_chain", lambda *x: looks.append(1) or chain(*x))
+    windows = np.array([[0, c, 199] * 2 for c in range(20, 180)])
+    assert passages.verified(a, b, windows) == []
+    assert len(looks) == 1
+
+
+def test_pairs_together_as_one_by_one(monkeypatch):
+    """Pairs that are prepared together, in slices of any size, give the spans of each pair alone; each holds the similarity."""
+    rng = np.random.default_rng(53)
+    pairs = []
+    for k in range(40):
+        a = rng.integers(-(1 << 31), 1 << 31, int(rng.integers(1, 300)))
+        if k % 4 == 1:  # a line that comes back
+            a[: len(a) // 2] = np.resize(a[:7], len(a) // 2)
+        b = np.array(edited(rng, a.tolist(), 1 + k % 3, "delete")) if len(a) > 30 else a.copy()
+        places = np.intersect1d(rng.integers(0, len(b), 6), np.arange(len(a)))
+        pairs.append((a, b, np.array([[0, c, len(a) - 1, 0, c, len(b) - 1] for c in places.tolist()], np.int64).reshape(-1, 6)))
+    a, b, windows = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+    at, to, bounds = (np.cumsum([0, *(len(p[k]) for p in pairs)]) for k in range(3))
+    want = [(k, *found) for k, p in enumerate(pairs) for found in passages.verified(*p)]
+    assert len({k for k, *_ in want}) > 20
+    for k, p, q, u, v in want:
+        x, y = set(pairs[k][0][p:q].tolist()), set(pairs[k][1][u:v].tolist())
+        assert 100 * len(x & y) >= 80 * len(x | y) and min(q - p, v - u) >= passages.LEAST
+    for together in (1, 500, 1 << 18):
+        monkeypatch.setattr(passages, "TOGETHER", together)
+        assert list(passages.verified_pairs(a, at, b, to, windows, bounds)) == want
+
+
+def test_texts_of_copies(spark, monkeypatch):
+    """Digests of odd texts; words are counted of the copies' texts, not of all documents to compare the count."""
+    texts = ["", "AbC é É", "abc é É", "İ ÀZ", "x" * 300_000, "漢字 😀"]
+    got = {r["id"]: bytes(r["d"]).hex() for r in passages._digests(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    assert got == {k: hashlib.sha256(lower(t).encode()).hexdigest() for k, t in enumerate(texts)}
+    plans, stored = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, *x: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, *x))
+    text = prose(np.random.default_rng(59), 60)
+    rows = [(1, text), (2, text.upper()), (3, text), (4, "Too Short"), (5, "too short"), (6, "alone " + text[:40])]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["n_words"], r["partner"], r["class"]) for r in found) == [(1, 60, 2, 1), (2, 60, 1, 1), (3, 60, 1, 1)]
+    lines = [x for plan in plans for x in plan.split("\n") if "split(" in x]
+    assert lines and not [x for x in lines if "Filter" in x]
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 

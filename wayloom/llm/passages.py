@@ -35,13 +35,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .common import drop, joined_components, keep, lower_ascii, restrict, scratch, small_batches, stored
+from .common import drop, joined_components, keep, restrict, scratch, small_batches, stored
 from .mixing import token_count
 
 WORDS = 5
@@ -54,6 +55,8 @@ AROUND = 3
 #: Comparisons of a window in the second round, and windows of a key that are ordered together.
 NEXT = 3
 CHUNK = 512
+#: Shingles of pairs that are prepared together for verification.
+TOGETHER = 1 << 18
 #: Windows on either side of a block of the last round, and how far from its centre it looks: the longest partner of a least passage.
 BLOCK = 256
 NEAR = LEAST * 100 // PERCENT
@@ -62,8 +65,9 @@ WINDOWS = "key long, id long, c int, back int, ahead int"
 
 
 def centres(key: np.ndarray, doc: np.ndarray, least: int, bits: int) -> np.ndarray:
-    """Positions that are the minimum of some ``least`` consecutive keys within a document: block-wise prefix
-    and suffix minima give all sliding minima in a few passes. Keys are distinct and end in their position, ``bits`` long."""
+    """Positions, in order, that are the minimum of some ``least`` consecutive keys within a document: block-wise prefix
+    and suffix minima give all sliding minima in a few passes, and these never go back. Keys are distinct and end in their
+    position, ``bits`` long."""
     n = len(key)
     if n < least:
         return np.zeros(0, np.int64)
@@ -77,24 +81,32 @@ def centres(key: np.ndarray, doc: np.ndarray, least: int, bits: int) -> np.ndarr
     low = low[doc[: n - least + 1] == doc[least - 1 :]]
     change = np.ones(len(low), bool)
     change[1:] = low[1:] != low[:-1]
-    return np.unique((low[change] & np.uint64((1 << bits) - 1)).astype(np.int64))
+    return (low[change] & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def spans(c: np.ndarray, key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each centre the widest [l, r] of which it is the minimum. The nearest smaller keys of a centre are centres
-    themselves or lie outside the document, so a stack over the centres builds the tree."""
-    left, right = begin.tolist(), (end - 1).tolist()
-    keys, places, stack = key[c].tolist(), c.tolist(), []
-    first = None
-    for k, x in enumerate(keys):
-        if left[k] != first:  # a new document
-            stack, first = [], left[k]
-        while stack and keys[stack[-1]] > x:
-            right[stack.pop()] = places[k] - 1
-        if stack:
-            left[k] = places[stack[-1]] + 1
-        stack.append(k)
-    return np.array(left, np.int64), np.array(right, np.int64)
+    themselves or lie outside the document. All look for theirs at once: where the one looked at is larger, so is all that it
+    has passed over, and the next to look at is the one where it stands itself."""
+    n = len(c)
+    if not n:
+        return c, c
+    new = np.ones(n, bool)
+    new[1:] = begin[1:] != begin[:-1]
+    at = np.arange(n) + np.cumsum(new)  # a place with the least key stands before each document, and at the end
+    keys, places = np.zeros(int(at[-1]) + 2, np.uint64), np.full(int(at[-1]) + 2, -1)
+    keys[at], places[at] = key[c], c
+
+    def nearest(step: int, beyond: np.ndarray) -> np.ndarray:
+        look = np.arange(len(keys)) + step
+        larger = at[keys[look[at]] > keys[at]]
+        while len(larger):
+            look[larger] = look[look[larger]]
+            larger = larger[keys[look[larger]] > keys[larger]]
+        found = places[look[at]]
+        return np.where(found < 0, beyond, found)
+
+    return nearest(-1, begin - 1) + 1, nearest(1, end) - 1
 
 
 def compact_windows(s: W.Slice, hashes: int = HASHES, least: int = LEAST, k: int = WORDS, around: int = AROUND):
@@ -154,14 +166,52 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<int>")
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    common = len(np.intersect1d(x, y))
-    return common * 100 >= (len(np.unique(x)) + len(np.unique(y)) - common) * percent
+def coded(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides of pairs (the k-th at[k]..at[k + 1] of ``a`` and to[k]..to[k + 1] of ``b``) with the distinct shingles of 32 bits
+    as numbers, rising from pair to pair, and the first number of each pair: one sort of pair, value and place."""
+    n, pairs = len(a) + len(b), np.arange(len(at) - 1, dtype=np.uint64)
+    bits = np.uint64(max(24, n.bit_length()))  # as many pairs as 8 bits hold, or a single one
+    keys = np.concatenate([a, b]).astype(np.uint32).astype(np.uint64) << bits | np.arange(n, dtype=np.uint64)
+    keys |= np.concatenate([pairs.repeat(np.diff(at)), pairs.repeat(np.diff(to))]) << (bits + np.uint64(32))
+    keys.sort()
+    place = (keys & np.uint64((1 << int(bits)) - 1)).view(np.int64)
+    keys >>= bits
+    rank = np.zeros(n, np.int64)
+    np.cumsum(keys[1:] != keys[:-1], out=rank[1:])
+    codes = np.empty(n, np.int64)
+    codes[place] = rank
+    return codes[: len(a)], codes[len(a) :], np.append(rank[(at + to - at[0] - to[0])[:-1]], rank[-1] + 1)
+
+
+def coded_pair(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    x, y, first = coded(x, np.array([0, len(x)]), y, np.array([0, len(y)]))
+    return x, y, int(first[1])
+
+
+def marks(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n codes are in ``x``."""
+    out = np.zeros(n, bool)
+    out[x] = True
+    return out
+
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT, codes: int | None = None) -> bool:
+    """Whether the sets reach the similarity; ``codes``: how many there are, if both are coded."""
+    if codes is None:
+        x, y, codes = coded_pair(x, y)
+    in_x, in_y = marks(x, codes), marks(y, codes)
+    return np.count_nonzero(in_x & in_y) * 100 >= np.count_nonzero(in_x | in_y) * percent
 
-def chained(x: np.ndarray, y: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of a longest chain of equal shingles that rises in both; a shingle with several places in ``y``
+
+def chained(x: np.ndarray, y: np.ndarray, off: int, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a longest chain of equal shingles (coded) that rises in both; a shingle with several places in ``y``
     takes the one nearest to the diagonal i - j = off."""
+    place = np.full(codes, -1)
+    place[y] = every = np.arange(len(y))
+    if (place[y] == every).all():  # each has one place
+        j = place[x]
+        i = np.flatnonzero(j >= 0)
+        return _rising(i, j[i])
     order = np.argsort(y, kind="stable")
     values, first = np.unique(y[order], return_index=True)
     rank = np.minimum(np.searchsorted(values, x), len(values) - 1)
@@ -174,8 +224,12 @@ def chained(x: np.ndarray, y: np.ndarray, off: int) -> tuple[np.ndarray, np.ndar
     want = rank[i] * width + np.clip(i - off, 0, len(y) - 1)
     after = np.clip(np.searchsorted(keys, want), first[rank[i]], stops[rank[i] + 1] - 1)
     before = np.maximum(after - 1, first[rank[i]])
-    j = order[np.where(np.abs(keys[before] - want) <= np.abs(keys[after] - want), before, after)]
-    if (np.diff(j) > 0).all():
+    return _rising(i, order[np.where(np.abs(keys[before] - want) <= np.abs(keys[after] - want), before, after)])
+
+
+def _rising(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a longest chain in which j rises as i does."""
+    if (j[1:] > j[:-1]).all():
         return i, j
     tails, at, back = [], [], []  # patience sorting
     for k, v in enumerate(j.tolist()):
@@ -195,10 +249,12 @@ def _grown(p: int, q: int, n: int, least: int) -> tuple[int, int]:
     return min(p, max(q - least, 0)), q
 
 
-def longest_chain(x: np.ndarray, y: np.ndarray, off: int, least: int = LEAST, percent: int = PERCENT) -> tuple[int, int, int, int] | None:
+def longest_chain(x: np.ndarray, y: np.ndarray, off: int, least: int = LEAST, percent: int = PERCENT, codes: int | None = None) -> tuple[int, int, int, int] | None:
     """The longest (x from, x to, y from, y to) over several diagonals that keeps the similarity: a stretch of m of the chain's
     places has m / (n - m), with n the lengths of both sides. One that is a little too short grows into its context."""
-    i, j = chained(x, y, off)
+    if codes is None:
+        x, y, codes = coded_pair(x, y)
+    i, j = chained(x, y, off, codes)
     few = 2 * least * percent / (100 + percent)
     if len(i) < few:
         return None
@@ -212,7 +268,7 @@ def longest_chain(x: np.ndarray, y: np.ndarray, off: int, least: int = LEAST, pe
         k, e = starts[n], last[starts[n]]
         p, q = _grown(int(i[k]), int(i[e]) + 1, len(x), least)
         u, v = _grown(int(j[k]), int(j[e]) + 1, len(y), least)
-        if min(q - p, v - u) >= least and similar(x[p:q], y[u:v], percent):
+        if min(q - p, v - u) >= least and similar(x[p:q], y[u:v], percent, codes):
             return p, q, u, v
         n += max(1, n // 4)
     return None
@@ -220,51 +276,87 @@ def longest_chain(x: np.ndarray, y: np.ndarray, off: int, least: int = LEAST, pe
 
 def verified(a: np.ndarray, b: np.ndarray, windows: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
     """Spans (a from, a to, b from, b to; ends exclusive) of near-duplicate passages, from a pair's windows
-    (rows l, c, r in a; l, c, r in b).
-
-    A window that shares too few shingles with all of ``b`` to hold such a passage is passed over by running counts. A
-    passage may have words inserted or deleted, so each side reaches further than the other, by what the similarity allows."""
-    found: list[tuple[int, int, int, int]] = []
-    shared = np.concatenate([[0], np.cumsum(np.isin(a, b))])
-    ca, cb = windows[:, 1], windows[:, 4]
-    lo, hi = np.minimum(ca - windows[:, 0], cb - windows[:, 3]), np.minimum(windows[:, 2] - ca, windows[:, 5] - cb)
+    (rows l, c, r in a; l, c, r in b)."""
+    one = (np.array([0, len(x)]) for x in (a, b, windows))
+    return [found for _, *found in verified_pairs(a, next(one), b, next(one), windows, next(one), least, percent)]
+
+
+def verified_pairs(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, windows: np.ndarray, bounds: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> Iterator[tuple[int, int, int, int, int]]:
+    """(pair, a from, a to, b from, b to; ends exclusive) of near-duplicate passages, from the windows of pairs (rows l, c, r in a;
+    l, c, r in b). The k-th pair's shingles (of 32 bits) are at[k]..at[k + 1] of ``a`` and to[k]..to[k + 1] of ``b``, its windows
+    bounds[k]..bounds[k + 1]; pairs of ``TOGETHER`` shingles are prepared in the same array passes."""
+    ends, i = at + to, 0
+    while i < len(at) - 1:
+        j = max(i + 1, min(int(np.searchsorted(ends, ends[i] + TOGETHER, "right")) - 1, i + 256))
+        part = slice(i, j + 1)
+        for k, *found in _verified(a[at[i] : at[j]], at[part] - at[i], b[to[i] : to[j]], to[part] - to[i], windows[bounds[i] : bounds[j]], bounds[part] - bounds[i], least, percent):
+            yield i + k, *found
+        i = j
+
+
+def _verified(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, windows: np.ndarray, bounds: np.ndarray, least: int, percent: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """A window that shares too few shingles with all of the other side to hold such a passage is passed over by running counts. A
+    passage may have words inserted or deleted, so each side reaches further than the other, by what the similarity allows.
+    Windows of equal reach are looked at once."""
+    pair = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
+    if not len(pair):
+        return
+    a, b, first = coded(a, at, b, to)
+    shared = np.zeros(len(a) + 1, np.int64)
+    np.cumsum(marks(b, int(first[-1]))[a], out=shared[1:])
+    a, b, codes = a - first[:-1].repeat(np.diff(at)), b - first[:-1].repeat(np.diff(to)), np.diff(first).tolist()
+    la, ca, ra, lb, cb, rb = windows.T
+    lo, hi = np.minimum(ca - la, cb - lb), np.minimum(ra - ca, rb - cb)
     begin, end, off = ca - lo, ca + hi + 1, ca - cb
-    held = shared[end] - shared[begin]
-    wide_a, wide_b = ((windows[:, k + 2] - windows[:, k] + 1) * (100 - percent) // percent for k in (0, 3))
-    a_from = np.maximum(np.maximum(windows[:, 0], ca - (cb - windows[:, 3] + wide_b)), 0)
-    a_to = np.minimum(np.minimum(windows[:, 2], ca + (windows[:, 5] - cb + wide_b)) + 1, len(a))
-    b_from = np.maximum(np.maximum(windows[:, 3], cb - (ca - windows[:, 0] + wide_a)), 0)
-    b_to = np.minimum(np.minimum(windows[:, 5], cb + (windows[:, 2] - ca + wide_a)) + 1, len(b))
-    around = shared[a_to] - shared[a_from]
+    wide_a, wide_b = ((r - l + 1) * (100 - percent) // percent for l, r in ((la, ra), (lb, rb)))
+    a_from = np.maximum(np.maximum(la, ca - (cb - lb + wide_b)), 0)
+    a_to = np.minimum(np.minimum(ra, ca + (rb - cb + wide_b)) + 1, np.diff(at)[pair])
+    b_from = np.maximum(np.maximum(lb, cb - (ca - la + wide_a)), 0)
+    b_to = np.minimum(np.minimum(rb, cb + (ra - ca + wide_a)) + 1, np.diff(to)[pair])
+    base, size = at[pair], end - begin
+    held, around = shared[base + end] - shared[base + begin], shared[base + a_to] - shared[base + a_from]
     cost = 2.0 * percent / (100 - percent)  # m matches of n: J = m / (2n - m)
     few = least * cost / (1 + cost)  # matches of the shortest passage
-    for k in np.lexsort((-(end - begin), off)).tolist():
-        p, q, d = int(begin[k]), int(end[k]), int(off[k])
-        if any(x <= ca[k] < y and u <= cb[k] < v for x, y, u, v in found):
-            continue
-        x, y = a[p:q], b[p - d : q - d]
-        if q - p >= least and (held[k] * 100 >= (q - p) * percent or held[k] < few and held[k] * 100 >= len(np.unique(x)) * percent):
-            if similar(x, y, percent):  # the whole of both windows as aligned at the centre
-                found.append((p, q, p - d, q - d))
+    whole = (size >= least) & ((held * 100 >= size * percent) | (held < few))
+    order = np.lexsort((-size, off, pair))
+    order = order[(whole | (around >= few))[order]]
+    reach = np.stack([begin, end, off, a_from, a_to, b_from, b_to, held, around, whole], axis=1)[order].tolist()
+    ca, cb, stops = ca[order], cb[order], np.searchsorted(pair[order], np.arange(len(at)))
+    inside = np.zeros(len(order), bool)
+    for n in np.flatnonzero(stops[1:] > stops[:-1]).tolist():
+        start, stop = int(stops[n]), int(stops[n + 1])
+        own_a, own_b, seen = a[at[n] : at[n + 1]], b[to[n] : to[n + 1]], set()
+        for k in range(start, stop):
+            p, q, d, f, t, g, h, held, around, whole = reach[k]
+            if inside[k] or (p, q, d, f, t, g, h) in seen:
                 continue
-        if around[k] < few:
-            continue
-        # the longest run along the diagonal through the centre in which the matches outweigh the misses
-        same = x == y
-        sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -cost))])
-        ahead = np.maximum.accumulate(sums[::-1])  # the largest sum from each place on, from the end
-        last = len(sums) - 1 - np.searchsorted(ahead, sums - 1e-9)
-        i = int(np.argmax(last - np.arange(len(sums))))
-        e = int(last[i])
-        best = (p + i, p + e, p + i - d, p + e - d) if e - i >= least and similar(x[i:e], y[i:e], percent) else None
-        if around[k] > np.count_nonzero(same):  # matches off the diagonal: words inserted or deleted
-            f, g, h = int(a_from[k]), int(b_from[k]), int(b_to[k])
-            chain = longest_chain(a[f : a_to[k]], b[g:h], d - f + g, least, percent)
-            if chain and (best is None or chain[1] - chain[0] > best[1] - best[0]):
-                best = (chain[0] + f, chain[1] + f, chain[2] + g, chain[3] + g)
-        if best:
-            found.append(best)
-    return found
+            seen.add((p, q, d, f, t, g, h))
+            x, y = own_a[p:q], own_b[p - d : q - d]
+            best = None
+            if whole and (held >= few or held * 100 >= np.count_nonzero(marks(x, codes[n])) * percent) and similar(x, y, percent, codes[n]):
+                best = (p, q, p - d, q - d)  # the whole of both windows as aligned at the centre
+            elif around >= few:
+                # the longest run along the diagonal through the centre in which the matches outweigh the misses
+                same = x == y
+                matches = np.count_nonzero(same)
+                if matches >= few:
+                    sums = np.zeros(q - p + 1)
+                    np.where(same, 1.0, -cost).cumsum(out=sums[1:])
+                    ahead = np.maximum.accumulate(sums[::-1])  # the largest sum from each place on, from the end
+                    last = q - p - ahead.searchsorted(sums - 1e-9)
+                    i = int((last - np.arange(len(sums))).argmax())
+                    e = int(last[i])
+                    if e - i >= least and similar(x[i:e], y[i:e], percent, codes[n]):
+                        best = (p + i, p + e, p + i - d, p + e - d)
+                if around > matches:  # matches off the diagonal: words inserted or deleted
+                    chain = longest_chain(own_a[f:t], own_b[g:h], d - f + g, least, percent, codes[n])
+                    if chain and (best is None or chain[1] - chain[0] > best[1] - best[0]):
+                        best = (chain[0] + f, chain[1] + f, chain[2] + g, chain[3] + g)
+            if best:
+                yield n, *best
+                if k + 1 < stop:
+                    u, v = ca[k:stop], cb[k:stop]
+                    inside[k:stop] |= (best[0] <= u) & (u < best[1]) & (best[2] <= v) & (v < best[3])
 
 
 def _side(x: str) -> Column:
@@ -307,11 +399,13 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 ends += [c - back, c, c + ahead]
             windows = np.stack(ends, axis=1)
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            for k, (i, j, fa, fb) in enumerate(zip(*(t.column(n).to_pylist() for n in ("ia", "ib", "from_a", "from_b")))):
-                x, y = t.column("sa")[k].values.to_numpy(), t.column("sb")[k].values.to_numpy()
-                own = windows[bounds[k] : bounds[k + 1]] - np.array([fa] * 3 + [fb] * 3)
-                for p, q, u, v in verified(x, y, own):
-                    rows += [(i, j, p + fa, q + fa, u + fb, v + fb), (j, i, u + fb, v + fb, p + fa, q + fa)]
+            (xs, at), (ys, to) = ((t.column(n).values.to_numpy(), t.column(n).offsets.to_numpy()) for n in ("sa", "sb"))
+            begin = np.stack([t.column(n).to_numpy() for n in ("from_a", "from_b")], axis=1).repeat(3, axis=1)
+            windows -= begin.repeat(np.diff(bounds), axis=0)
+            i, j, fa, fb = (t.column(n).to_pylist() for n in ("ia", "ib", "from_a", "from_b"))
+            for k, p, q, u, v in verified_pairs(xs, at, ys, to, windows, bounds):
+                span, other = (p + fa[k], q + fa[k]), (u + fb[k], v + fb[k])
+                rows += [(i[k], j[k], *span, *other), (j[k], i[k], *other, *span)]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 2 + (pa.int32(),) * 4)], ["id", "partner", "start", "stop", "partner_start", "partner_stop"])
 
@@ -499,9 +593,23 @@ def _rest(shared: DataFrame, found: DataFrame, linked: DataFrame, rows: DataFram
     return _agreements(pairs)
 
 
+def _digests(rows: DataFrame) -> DataFrame:
+    """(id, d): the SHA-256 of each text in UTF-8, A-Z lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in W.slices(b.column("text")):
+                data, ends = memoryview(W.LOWER[s.data]), s.offsets.tolist()
+                digests = [sha256(data[i:j]).digest() for i, j in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(s.first, s.rows), pa.array(digests, pa.binary())], ["id", "d"])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, "id long, d binary")
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     """(id, rep) of the documents whose text another one has too, A-Z lower-cased; rep is the smallest id of them."""
-    digests = stored(rows.select("id", F.unhex(F.sha2(lower_ascii(F.col("text")), 256)).alias("d")), "digests")
+    digests = stored(_digests(rows), "digests")
     equal = stored(digests.groupBy("d").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "equal")
     out = stored(digests.join(equal, "d").select("id", "rep"), "copies")
     drop(digests, equal)
@@ -535,10 +643,11 @@ def _passages(rows: DataFrame) -> DataFrame:
     linked = linked.select(F.col("node").alias("rep"), F.col("component").alias("class"))
     size = lambda a, b: (F.col(b) - F.col(a) + WORDS - 1)
     spans = chosen(found).select("id", F.col("start").alias("start_word"), size("start", "stop").alias("n_words"), "partner", "partner_start", size("partner_start", "partner_stop").alias("partner_words"), F.col("low").alias("extent_start"), size("low", "high").alias("extent_words"))
-    # copies of a text: all of it is a passage
-    whole = restrict(rows, stored(copies.select("id").distinct(), "members"), "id").select("id", token_count(F.col("text")).cast("int").alias("n_words")).where(F.col("n_words") >= LEAST + WORDS - 1)
+    # copies of a text: all of it is a passage. The count of its words is stored before it is compared, else all documents' words are counted
+    words = restrict(rows, stored(copies.select(F.col("rep").alias("id")).distinct(), "members"), "id").select(F.col("id").alias("rep"), token_count(F.col("text")).cast("int").alias("n_words"))
+    whole = copies.join(stored(words, "words").where(F.col("n_words") >= LEAST + WORDS - 1), "rep")
     second = copies.where("id <> rep").groupBy("rep").agg(F.min("id").alias("second"))
-    whole = whole.join(copies, "id").join(second, "rep").select("id", "rep", F.lit(0).alias("start_word"), "n_words", F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("partner"))
+    whole = whole.join(second, "rep").select("id", "rep", F.lit(0).alias("start_word"), "n_words", F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("partner"))
     whole = whole.select("*", F.lit(0).alias("partner_start"), F.col("n_words").alias("partner_words"), F.lit(0).alias("extent_start"), F.col("n_words").alias("extent_words"))
     whole = stored(whole, "whole")
     spans = spans.join(whole.select("id"), "id", "left_anti").withColumn("rep", F.col("id"))
